@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -140,7 +141,7 @@ def encode_column(path: str):
     """A pandas UDF from a text column to its ids (array<int>); null gives no ids."""
 
     @F.pandas_udf("array<int>")
-    def ids(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def ids(texts: pd.Series) -> pd.Series:
         codec, out = Codec.at(path), []
         for t in texts:
             own: list[int] = []
@@ -157,7 +158,7 @@ def decode_column(path: str):
     """A pandas UDF from ids (array<int>) to the decoded text; null gives null."""
 
     @F.pandas_udf("string")
-    def text(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def text(ids: pd.Series) -> pd.Series:
         model = Codec.at(path).model
         return ids.map(lambda x: None if x is None else model.decode([int(i) for i in x]))
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,7 +167,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not toxic, with all their columns. Rules of ``severity``."""
 
     @F.pandas_udf("boolean")
-    def clean(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def clean(texts: pd.Series) -> pd.Series:
         score = model.scorer()
         return texts.map(lambda t: score(t)[1] == 0).astype(bool)
 

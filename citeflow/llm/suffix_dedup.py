@@ -308,7 +308,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 _ANCHORS = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _SHARED = pa.schema([("grp", pa.int64()), ("shared", pa.binary()), ("frequent", pa.binary())])
-_PIECES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("settled", pa.bool_()), ("starts", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("subs", pa.binary()), ("bytes", pa.binary())])
+_PIECES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("settled", pa.bool_()), ("starts", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("subs", pa.binary()), ("bytes", pa.binary()), ("size", pa.int64())])
 _CUTS = pa.schema([("grp", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary())])
 
 
@@ -396,7 +396,7 @@ def _send_pieces(n_buckets: int, length: int):
             place = np.repeat(ps - (np.cumsum(pn) - pn), pn) + np.arange(len(later))
             cs, cc = _mask_runs(later, place)
             if len(cs):
-                rows.append((grp % n_buckets, grp, True, cs.astype("<i8").tobytes(), cc.astype("<i8").tobytes(), b"", b"", b""))
+                rows.append((grp % n_buckets, grp, True, cs.astype("<i8").tobytes(), cc.astype("<i8").tobytes(), b"", b"", b"", 0))
             left_at, anchor = place[~later], np.repeat(a, c)[~later]
             if not len(left_at):
                 continue
@@ -408,8 +408,8 @@ def _send_pieces(n_buckets: int, length: int):
             d = own.doc[np.searchsorted(own.ends, s, side="right")]
             for b, x in _by(a, n_buckets):
                 sub = ((a[x] // U64(n_buckets)) & U64(0xFFFF)).astype("<u2")
-                piece = _cut_out(own.buf, s[x], c[x] + length - 1)
-                rows.append((b, grp, False, s[x].astype("<i8").tobytes(), c[x].astype("<i4").tobytes(), d[x].astype("<i8").tobytes(), sub.tobytes(), piece.tobytes()))
+                piece = _cut_out(own.buf, s[x], c[x] + length - 1)  # pieces overlap, so they shrink well
+                rows.append((b, grp, False, s[x].astype("<i8").tobytes(), c[x].astype("<i4").tobytes(), d[x].astype("<i8").tobytes(), sub.tobytes(), pa.compress(piece.tobytes(), "zstd", asbytes=True), len(piece)))
         return _rows(rows, _PIECES)
 
     return run
@@ -422,7 +422,9 @@ def _settle_pieces(length: int, at_once: int):
         if not sent.num_rows:
             return _rows(rows, _CUTS)
         kind = {"starts": "<i8", "counts": "<i4", "docs": "<i8", "subs": "<u2", "bytes": np.uint8}
-        parts = {c: [np.frombuffer(x, k) for x in sent.column(c).to_pylist()] for c, k in kind.items()}
+        parts = {c: [np.frombuffer(x, k) for x in sent.column(c).to_pylist()] for c, k in kind.items() if c != "bytes"}
+        packed = zip(sent.column("bytes").to_pylist(), sent.column("size").to_pylist())
+        parts["bytes"] = [np.frombuffer(pa.decompress(x, n, "zstd", asbytes=True), np.uint8) for x, n in packed]
         grp = np.repeat(sent.column("grp").to_numpy(), [len(x) for x in parts["starts"]])
         start, count, doc, sub, buf = (np.concatenate(parts[c]) for c in kind)
         count = count.astype(np.int64)

@@ -55,9 +55,9 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.transform(F.array(value), then)[0]
+def once(value: Column) -> Column:
+    """The same value, bound so that later projections read it instead of repeating its expression."""
+    return F.transform(F.array(value), lambda x: x)[0]
 
 
 def words(x: Column) -> Column:

@@ -9,10 +9,20 @@ from pyspark.sql import functions as F
 from .scalars import comparable, words
 
 
+def word_set(x: Column) -> Column:
+    return F.array_distinct(words(comparable(x)))
+
+
+def overlap(x: Column, y: Column) -> Column:
+    """Shared words over all words of two word sets, 0 if either is empty."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), both / (F.size(x) + F.size(y) - both)).otherwise(0.0)
+
+
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared words over all words, 0 if either is blank."""
-    x, y = F.array_distinct(words(comparable(a))), F.array_distinct(words(comparable(b)))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    """``overlap`` of two texts' words, each split once."""
+    pair = F.struct(word_set(a).alias("x"), word_set(b).alias("y"))
+    return F.transform(F.array(pair), lambda p: overlap(p["x"], p["y"]))[0]
 
 
 def sorted_words(x: Column) -> Column:
@@ -33,17 +43,22 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - rows.bit_count()
 
 
-@F.pandas_udf("double")
-def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
+def _indel_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([2 * common_subsequence(x, y) / (len(x) + len(y)) if x and y else 0.0 for x, y in zip(a, b)])
 
 
+def _indel(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_indel_batch, "double")(a, b)
+
+
 def token_sort(a: Column, b: Column, at_least: float = 0.0) -> Column:
     """Indel similarity of the sorted words. Pairs whose lengths rule out ``at_least`` get 0 without Python."""
-    x, y = sorted_words(a), sorted_words(b)
+    return sorted_similarity(sorted_words(a), sorted_words(b), at_least)
+
+
+def sorted_similarity(x: Column, y: Column, at_least: float = 0.0) -> Column:
     n, m = F.length(x), F.length(y)
-    most = F.when(n + m > 0, 2 * F.least(n, m) / (n + m)).otherwise(0.0)
-    keep = most >= at_least
+    keep = F.when(n + m > 0, 2 * F.least(n, m) / (n + m)).otherwise(0.0) >= at_least
     return F.when(keep, _indel(F.when(keep, x).otherwise(""), F.when(keep, y).otherwise(""))).otherwise(0.0)
 
 

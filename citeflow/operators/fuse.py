@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
-    YEAR_PRIORITY, author_keys, clean_authors, comparable, dashed, doi_key, first_number, given, is_page_range, is_plausible_year,
-    is_single_page, is_trusted, month_number, pages_richness, text, vote_weight, words, year_of,
+    YEAR_PRIORITY, author_keys, clean_authors, comparable, doi_key, first_number, given, is_page_range, is_plausible_year,
+    is_single_page, is_trusted, month_number, once, pages_richness, text, vote_weight, words, year_of,
 )
-from ..functions.similarity import jaccard, similarity
+from ..functions.similarity import similarity
 from ..schemas import FIELDS, MATCHED, RECORD, VOTED
-from .match import is_trustworthy, score_candidate
+from .match import compared, prepared
 
 SAME_TITLE = 0.92
 
@@ -29,8 +29,10 @@ def with_fields(df: DataFrame) -> DataFrame:
 
 
 def record(df: DataFrame) -> Column:
-    """The fields as one struct."""
-    return F.struct(*[F.col(f) for f in FIELDS]).cast(RECORD)
+    """The fields as one struct: texts trimmed, blank ones and empty author lists NULL. Later stages rely on this."""
+    people = clean_authors(F.col("authors"))
+    values = [F.when(F.size(people) > 0, people) if f == "authors" else given(f) for f in FIELDS]
+    return once(F.struct(*[v.alias(f) for v, f in zip(values, FIELDS)]).cast(RECORD))
 
 
 def cluster_titles(cands: DataFrame, mode: str = "jaccard") -> DataFrame:
@@ -183,7 +185,7 @@ def matching_fields(ex: Column, best: Column, mode: str = "jaccard") -> Column:
             return similarity(ex[f], best[f], mode) >= 0.93
         if f == "doi":
             return doi_key(ex[f]) == doi_key(best[f])
-        return given(ex[f]) == given(best[f])
+        return ex[f] == best[f]
 
     return F.array_compact(F.array(*[F.when(same(f), F.lit(f)) for f in MATCHED]))
 
@@ -192,9 +194,11 @@ def select_best(refs: DataFrame, cands: DataFrame, as_of_year: int = 2025, mode:
     """(ref_id, ex, best, matching, provenance, trusted): the consensus where its DOI is the reference's own; else the
     best-scored candidate, or the one with the nearest title (0.95), if trustworthy; else no best record."""
     refs, cands = with_fields(refs), with_fields(cands)
-    ex = refs.select("ref_id", record(refs).alias("ex"))
-    rows = cands.select("ref_id", "cand_ord", F.struct(*FIELDS, "source").alias("c")).join(ex, "ref_id")
-    rows = rows.select("ref_id", "cand_ord", "c", score_candidate(F.col("ex"), F.col("c"), mode).alias("score"), is_trustworthy(F.col("ex"), F.col("c"), mode).alias("sure"), similarity(F.col("ex")["title"], F.col("c")["title"], mode).alias("near"))
+    ex = refs.select("ref_id", record(refs).alias("ex")).withColumn("a", prepared(F.col("ex")))
+    rows = cands.select("ref_id", "cand_ord", once(F.struct(*FIELDS, "source")).alias("c")).withColumn("b", prepared(F.col("c"), F.col("c")["source"]))
+    rows = rows.join(ex.select("ref_id", "a"), "ref_id").select("ref_id", "cand_ord", "c", compared(F.col("a"), F.col("b"), mode).alias("m"))
+    rows = rows.select("ref_id", "cand_ord", "c", "m.score", "m.sure", "m.near")
+    ex = ex.drop("a")
     pick = lambda by: F.max_by(F.struct("c", "sure", "near"), F.struct(F.col(by), -F.col("cand_ord")))
     picks = rows.groupBy("ref_id").agg(pick("score").alias("scored"), pick("near").alias("titled"))
     fused = consensus(cands, as_of_year, mode)
@@ -214,12 +218,12 @@ def select_best(refs: DataFrame, cands: DataFrame, as_of_year: int = 2025, mode:
     by_doi = F.coalesce(doi_key(F.col("fused")["doi"]) == doi_key(F.col("ex")["doi"]), F.lit(False))
     one = F.when(F.col("scored")["sure"], F.col("scored")["c"]).when((F.col("titled")["near"] >= 0.95) & F.col("titled")["sure"], F.col("titled")["c"])
     out = out.withColumn("by_doi", by_doi).withColumn("one", F.when(~F.col("by_doi"), one))
-    out = out.withColumn("single", F.when(own.isNotNull(), single))
+    out = out.withColumn("single", once(F.when(own.isNotNull(), single)))
     best = F.when(F.col("by_doi"), F.col("fused")).otherwise(F.col("single"))
     has = lambda f: F.col("single")[f].isNotNull()
     entries = F.array_compact(F.array(*[F.when(has(f), F.struct(F.lit(f).alias("k"), F.lit("doi-agreement").alias("v") if f == "doi" else F.col("one")["source"].alias("v"))) for f in FIELDS]))
     by = F.when(F.col("by_doi"), F.col("fused_by")).when(own.isNotNull(), F.map_from_entries(entries))
-    out = out.select("ref_id", "ex", best.alias("best"), by.alias("provenance"))
+    out = out.select("ref_id", "ex", once(best).alias("best"), once(by).alias("provenance"))
     match = F.when(F.col("best").isNull(), F.array().cast("array<string>")).otherwise(matching_fields(F.col("ex"), F.col("best"), mode))
     return out.select("ref_id", "ex", "best", match.alias("matching"), "provenance", F.col("best").isNotNull().alias("trusted"))
 
@@ -265,13 +269,13 @@ def enrich(ex: Column, best: Column) -> Column:
 
     def value(f: str) -> Column:
         if f == "authors":
-            return F.when(F.size(clean_authors(ex[f])) > 0, ex[f]).otherwise(best[f])
-        v = F.coalesce(given(ex[f]), given(best[f]))
+            return F.coalesce(ex[f], best[f])
+        v = F.coalesce(ex[f], best[f])
         if f == "pages":
-            return F.when(widens(v, best[f]), text(best[f])).otherwise(v)
+            return F.when(widens(v, best[f]), best[f]).otherwise(v)
         return F.when(v.isNotNull(), month_number(v)) if f == "month" else v
 
-    return F.struct(*[value(f).alias(f) for f in FIELDS]).cast(RECORD)
+    return once(F.struct(*[value(f).alias(f) for f in FIELDS]).cast(RECORD))
 
 
 def widens(page: Column, other: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.similarity import jaccard, token_sort
 from ..operators import fuse, lookup, match, render, repair, screen, segment, sinks, verify
 from ..schemas import CHANGE, FIELDS
 from ..sources import catalogs, files
@@ -29,7 +28,8 @@ def consensus_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = fuse.best_years(cands, ["ref_id"], AS_OF).select("ref_id", "year", F.col("source").alias("year_source"))
     people = fuse.vote_authors(cands, ["ref_id"]).select("ref_id", "authors")
     rows = wide.join(years, "ref_id", "left").join(people, "ref_id", "left")
-    line = render.format_reference(fuse.record(rows), F.lit("journal article"))
+    line = render.format_reference(F.col("r"), F.lit("journal article"))
+    rows = rows.withColumn("r", fuse.record(fuse.with_fields(rows)))
     return rows.select("ref_id", "title", "journal_name", "journal_abbrev", "volume", "issue", "pages", "month", "doi", "year", "year_source", line.alias("formatted"))
 
 
@@ -72,21 +72,21 @@ def consensus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared references against each of their candidates."""
     refs, cands = fuse.with_fields(references(spark, sf_dir)), fuse.with_fields(candidates(spark, sf_dir))
-    return cands.select("ref_id", "cand_ord", F.struct(*FIELDS, "source").alias("c")).join(refs.select("ref_id", fuse.record(refs).alias("ex")), "ref_id")
+    left = refs.select("ref_id", match.prepared(fuse.record(refs)).alias("a"))
+    right = cands.select("ref_id", "cand_ord", match.prepared(fuse.record(cands), F.col("source")).alias("b"))
+    return right.join(left, "ref_id")
 
 
 def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ex, c = F.col("ex"), F.col("c")
-    return _pairs(spark, sf_dir).select(
-        "ref_id", "cand_ord", F.round(jaccard(ex["title"], c["title"]), 6).alias("title_sim"), F.round(match.venue_similarity(ex, c), 6).alias("venue_sim"),
-        match.score_candidate(ex, c).alias("score"), match.is_trustworthy(ex, c).alias("trusted"),
-    )
+    rows = _pairs(spark, sf_dir).select("ref_id", "cand_ord", match.compared(F.col("a"), F.col("b")).alias("m"))
+    return rows.select("ref_id", "cand_ord", F.round("m.near", 6).alias("title_sim"), F.round("m.place", 6).alias("venue_sim"), "m.score", F.col("m.sure").alias("trusted"))
 
 
 def title_token_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ex, c = F.col("ex"), F.col("c")
-    return _pairs(spark, sf_dir).select("ref_id", "cand_ord", F.round(token_sort(ex["title"], c["title"]), 6).alias("similarity"))
+    near = match.title_similarity(F.col("a"), F.col("b"), "token_sort")
+    return _pairs(spark, sf_dir).select("ref_id", "cand_ord", F.round(near, 6).alias("similarity"))
 
 
 def selected_best(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,11 +118,14 @@ def first_object(s: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def _balanced(s: pd.Series) -> pd.Series:
+def _balanced_batch(s: pd.Series) -> pd.Series:
     return s.map(first_object)
 
 
+def _balanced(s: Column) -> Column:
+    return F.pandas_udf(_balanced_batch, "string")(s)
+
+
 def lenient_json(raw: Column) -> Column:
     """The JSON object in a model's raw output, as a string: the whole if it is one, else the first inside it. Only
     the latter goes to Python."""

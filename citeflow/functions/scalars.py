@@ -74,8 +74,8 @@ def author_list(x: Column | str) -> Column:
     start = F.array().cast("array<string>")
 
     def add(acc: Column, p: Column) -> Column:
-        bare = p.rlike(r"^(?:[A-Z]\.[ -]?)+$") & (F.size(acc) > 0) & ~F.contains(F.coalesce(F.element_at(acc, -1), F.lit("")), F.lit(","))
-        glued = F.concat(F.element_at(acc, -1), F.lit(", "), p)
+        bare = p.rlike(r"^(?:[A-Z]\.[ -]?)+$") & (F.size(acc) > 0) & ~F.contains(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.lit(","))
+        glued = F.concat(F.try_element_at(acc, F.lit(-1)), F.lit(", "), p)
         return F.when(bare, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(glued))).otherwise(F.concat(acc, F.array(p)))
 
     return F.aggregate(parts, start, add)
@@ -123,9 +123,9 @@ def format_author(name: Column) -> Column:
     n = text(name)
     toks = words(n)
     comma = F.contains(n, F.lit(","))
-    last = F.when(comma, F.trim(F.substring_index(n, ",", 1))).otherwise(F.element_at(toks, -1))
+    last = F.when(comma, F.trim(F.substring_index(n, ",", 1))).otherwise(F.try_element_at(toks, F.lit(-1)))
     first = F.when(comma, F.trim(F.substr(n, F.instr(n, ",") + 1))).otherwise(F.array_join(F.slice(toks, F.lit(1), F.greatest(F.size(toks) - 1, F.lit(0))), " "))
-    tail = F.element_at(words(last), -1)
+    tail = F.try_element_at(words(last), F.lit(-1))
     has = F.coalesce(_bare(tail).isin(SUFFIXES), F.lit(False))
     body = F.array_join(F.slice(words(last), F.lit(1), F.greatest(F.size(words(last)) - 1, F.lit(0))), " ")
     whole = F.when(has, F.concat(initials(first), F.lit(" "), body, F.lit(", "), _suffix(tail))).otherwise(F.concat(initials(first), F.lit(" "), last))
@@ -140,7 +140,7 @@ def format_authors(a: Column) -> Column:
         F.when(n == 0, "")
         .when(n >= 7, F.concat(items[0], F.lit(" *et al.*")))
         .when(n == 1, items[0])
-        .otherwise(F.concat(F.array_join(F.slice(items, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.element_at(items, -1)))
+        .otherwise(F.concat(F.array_join(F.slice(items, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.try_element_at(items, F.lit(-1))))
     )
 
 
@@ -148,7 +148,7 @@ def author_key(name: Column, spelled: bool = True) -> Column:
     """Initials and surname in lower case, '' for 'et al.'; with ``spelled=False`` only names already given as
     initials count."""
     toks = words(name)
-    last = F.element_at(toks, -1)
+    last = F.try_element_at(toks, F.lit(-1))
     first = F.slice(toks, F.lit(1), F.greatest(F.size(toks) - 1, F.lit(0)))
     letters = F.filter(first, lambda w: w.rlike(r"^\p{L}"))
     if not spelled:
@@ -164,7 +164,7 @@ def author_keys(a: Column, spelled: bool = True) -> Column:
 
 
 def surnames(a: Column) -> Column:
-    return F.array_distinct(F.transform(clean_authors(a), lambda x: F.lower(F.element_at(words(x), -1))))
+    return F.array_distinct(F.transform(clean_authors(a), lambda x: F.lower(F.try_element_at(words(x), F.lit(-1)))))
 
 
 # ---- identifiers, pages, dates
@@ -249,7 +249,7 @@ def year_window(y: Column | str) -> Column:
     """The first four digits from 1800 to 2100 anywhere, or ''."""
     s = text(y)
     spots = F.when(F.length(s) >= 4, F.sequence(F.lit(1), F.length(s) - 3)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(F.transform(spots, lambda i: F.substr(s, i, F.lit(4))), lambda w: w.rlike(r"^\d{4}$") & F.coalesce(F.try_to_number(w, F.lit("9999")).between(1800, 2100), F.lit(False)))
+    found = F.filter(F.transform(spots, lambda i: F.substr(s, i, F.lit(4))), lambda w: w.rlike(r"^\d{4}$") & F.coalesce(w.try_cast("int").between(1800, 2100), F.lit(False)))
     return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 

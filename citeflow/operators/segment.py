@@ -52,7 +52,7 @@ def fold_marked(ls: Column) -> Column:
     def add(acc: Column, line: Column) -> Column:
         fresh = is_marker(line) | (F.size(acc) == 0)
         new = F.when(is_marker(line), strip_marker(line)).otherwise(line)
-        last = F.coalesce(F.element_at(acc, -1), F.lit(""))
+        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
         grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), new)))
         return F.when(fresh, F.concat(acc, F.array(new))).otherwise(grown)
 

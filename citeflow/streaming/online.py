@@ -19,7 +19,8 @@ def drop_repeats_batch(requests: DataFrame, ttl_seconds: int = 3600, tie: str =
     """The same over a table: a request counts as a repeat if the one before it with its hash is at most the time to
     live away. (The stream measures from the first request kept, a table from the request before.)"""
     w = Window.partitionBy("ref_hash").orderBy("ts", tie)
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = micros - F.lag(micros).over(w)
     return requests.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > ttl_seconds * 1_000_000)).drop("_gap")
 
 

@@ -247,10 +247,13 @@ def year_of(y: Column | str) -> Column:
 
 def year_window(y: Column | str) -> Column:
     """The first four digits from 1800 to 2100 anywhere, or ''."""
-    s = text(y)
-    spots = F.when(F.length(s) >= 4, F.sequence(F.lit(1), F.length(s) - 3)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(F.transform(spots, lambda i: F.substr(s, i, F.lit(4))), lambda w: w.rlike(r"^\d{4}$") & F.coalesce(w.try_cast("int").between(1800, 2100), F.lit(False)))
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+
+    def first(s: Column) -> Column:
+        spots = F.when(F.length(s) >= 4, F.sequence(F.lit(1), F.greatest(F.length(s) - 3, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        windows = F.transform(spots, lambda i: F.substr(s, i, F.lit(4)))
+        return F.coalesce(F.get(F.filter(windows, lambda w: F.coalesce(F.when(w.rlike(r"^\d{4}$"), w.try_cast("int")).between(1800, 2100), F.lit(False))), F.lit(0)), F.lit(""))
+
+    return F.transform(F.array(text(y)), first)[0]
 
 
 def year_prefix(y: Column | str) -> Column:

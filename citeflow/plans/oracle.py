@@ -128,7 +128,7 @@ SQL = {
     "source_weights": f"""WITH {CAND}, l AS (SELECT *, CASE source WHEN 'crossref' THEN 'Crossref' WHEN 'openalex' THEN 'OpenAlex' WHEN 'semanticscholar' THEN 'Semantic Scholar' WHEN 'ieeexplore' THEN 'IEEE Xplore' WHEN 'pubmed' THEN 'PubMed' WHEN 'arxiv' THEN 'arXiv' ELSE source END AS label FROM weighted)
       SELECT ref_id, CAST(sum(w) AS DOUBLE) AS votes, round(CAST(sum(sw) AS DOUBLE), 6) AS score, bool_or(sure) AS trusted, string_agg(DISTINCT label, ', ' ORDER BY label) AS labels FROM l GROUP BY ref_id""",
     "parsed_references": f"""WITH {CAND}, {REFS}, {STRINGS} SELECT ref_id, title || ',' AS title, 'A. Author' || ref_id % 7 || '|' || 'B. Writer' || ref_id % 5 AS authors, CASE WHEN ref_id % 2 = 0 THEN '10.1000/' || ref_id || '.' END AS doi,
-      CASE WHEN ref_id % 2 = 1 AND ref_id % 9 = 0 THEN '2101.' || lpad(CAST(ref_id % 100000 AS VARCHAR), 5, '0') WHEN ref_id % 2 = 0 THEN nullif(regexp_extract(reference, '\\s*(\\d{{4}}\\.\\d{{4,5}})', 1), '') END AS arxiv_id, nullif(replace(pages, '–', '-'), '') AS pages, volume, issue, year FROM refs JOIN strings USING (ref_id)""",
+      CASE WHEN ref_id % 2 = 1 AND ref_id % 9 = 0 THEN '2101.' || lpad(CAST(ref_id % 100000 AS VARCHAR), 5, '0') WHEN ref_id % 2 = 0 THEN nullif(regexp_extract(reference, '\\s*(\\d{{4}}\\.\\d{{4,5}})', 1), '') END AS arxiv_id, nullif(replace(pages, '–', '-'), '') AS pages, volume, issue, nullif(regexp_extract(reference, '\\b((?:19|20)\\d{{2}})\\b', 1), '') AS year FROM refs JOIN strings USING (ref_id)""",
     "marked_references": f"WITH {CAND}, {REFS}, {STRINGS}, s AS (SELECT doc_id, pos, reference FROM strings WHERE doc_id % 3 = 0) SELECT doc_id, CAST(pos + 1 AS INTEGER) AS pos, reference FROM s UNION ALL SELECT DISTINCT doc_id, 1, 'Body text References' FROM s",
     "extracted_references": f"WITH {CAND}, {REFS}, {STRINGS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, reference FROM strings WHERE doc_id % 3 = 0",
     "doi_lookup": f"""WITH {CAND}, {REFS} SELECT r.ref_id, c.source, c.ref_id || '-' || c.cand_ord AS cand_key, c.title FROM refs r JOIN cand c ON c.doi = '10.1000/' || r.ref_id WHERE r.doi IS NOT NULL AND c.source NOT IN ('pubmed', 'arxiv')""",

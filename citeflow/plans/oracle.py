@@ -156,6 +156,39 @@ SQL = {
       SELECT ref_id, cand_ord, round(CAST(t AS DOUBLE), 6) AS title_sim, round(CAST(v AS DOUBLE), 6) AS venue_sim,
         round(CAST(CASE WHEN coalesce(same, false) THEN 1.0 ELSE 0.0 END AS DOUBLE) + 0.9 * CAST(t AS DOUBLE) + CAST(p AS DOUBLE) + CAST(CASE WHEN gap = 0 THEN 0.12 WHEN abs(gap) = 1 THEN -0.03 WHEN abs(gap) = 2 THEN -0.06 ELSE -0.12 END AS DOUBLE) + 0.08 * CAST(v AS DOUBLE) + CAST(sw AS DOUBLE), 6) AS score,
         sure AND (coalesce(same, false) OR (t >= 0.93 AND (len(list_intersect(pa, pb)) > 0 OR abs(gap) <= 1) AND (nov OR v >= 0.80))) AS trusted FROM s""",
+    "scalar_authors": f"""WITH {CAND}, {REFS} SELECT ref_id,
+        CASE ref_id % 4 WHEN 0 THEN coalesce('A. M. ' || split_part(authors[1], ' ', 3) || ', and J.-P. ' || CASE WHEN trim(authors[2][7:]) LIKE '% %' THEN upper(authors[2][7]) || '. ' || split_part(trim(authors[2][7:]), ' ', 2) ELSE trim(authors[2][7:]) END, '')
+          WHEN 1 THEN upper(authors[1][1]) || '. V. ' || list_last(string_split(authors[1], ' ')) || ', M.-A. Lee, and Q. Kim, Jr.' WHEN 2 THEN authors[1] || ' *et al.*' ELSE '' END AS ieee,
+        CASE ref_id % 4 WHEN 0 THEN coalesce('a. m. ' || lower(split_part(authors[1], ' ', 3)) || '|j. ' || CASE WHEN trim(authors[2][7:]) LIKE '% %' THEN lower(authors[2][7]) || '. ' || lower(split_part(trim(authors[2][7:]), ' ', 2)) ELSE lower(trim(authors[2][7:])) END, '')
+          WHEN 1 THEN lower(authors[1][1]) || '. v. ' || lower(list_last(string_split(authors[1], ' '))) || '|l. mary-ann|k. j. q.' WHEN 2 THEN lower(array_to_string(authors, '|')) ELSE '' END AS keys,
+        CASE ref_id % 4 WHEN 0 THEN coalesce(lower(split_part(authors[1], ' ', 3)) || '|' || CASE WHEN trim(authors[2][7:]) LIKE '% %' THEN 'j.-p. ' || lower(split_part(trim(authors[2][7:]), ' ', 2)) ELSE 'j.-p. ' || lower(trim(authors[2][7:])) END, '')
+          WHEN 1 THEN lower(list_last(string_split(authors[1], ' '))) || '|mary-ann|q.' WHEN 2 THEN lower(array_to_string(authors, '|')) ELSE '' END AS short_keys,
+        coalesce(array_to_string(list_sort(list_distinct(list_transform(authors, lambda x: lower(list_last(string_split(trim(x), ' ')))))), '|'), '') AS surnames FROM refs""",
+    "gathered_candidates": f"""WITH {CAND}, {REFS}, f AS (
+        SELECT r.ref_id, c.source, c.doi, c.title, c.ref_id || '-' || c.cand_ord AS key, 1 AS kind FROM refs r JOIN cand c ON c.doi = '10.1000/' || r.ref_id WHERE r.doi IS NOT NULL AND c.source NOT IN ('pubmed', 'arxiv')
+        UNION ALL SELECT r.ref_id, c.source, c.doi, c.title, c.ref_id || '-' || c.cand_ord, 0 FROM refs r JOIN cand c ON c.source = 'arxiv' AND c.ref_id % 100000 = r.ref_id % 100000 WHERE r.ref_id % 9 = 0 AND r.ref_id % 2 = 1),
+      o AS (SELECT *, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY list_position(['crossref','openalex','semanticscholar','ieeexplore','pubmed','arxiv'], source), kind, key) AS INTEGER) AS cand_ord FROM f),
+      g AS (SELECT ref_id, source, coalesce(lower(doi), title) AS k, min(cand_ord) AS cand_ord, arg_max(struct_pack(doi := doi, title := title, key := key), cand_ord) AS last FROM o GROUP BY ALL)
+      SELECT ref_id, cand_ord, source, last.doi AS doi, last.title AS title, last.key AS key FROM g""",
+    "enriched": f"""WITH {CAND}, {REFS}, m AS (SELECT *, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'] AS names FROM refs)
+      SELECT r.ref_id, r.title, coalesce(r.journal_name, f.journal_name) AS journal_name, f.journal_abbrev, r.volume, r.issue, CASE WHEN regexp_full_match(r.pages, '\\d+') AND f.pages LIKE r.pages || '_%' AND regexp_matches(f.pages, '[-–]') THEN f.pages ELSE r.pages END AS pages,
+        r.year, CAST(coalesce(list_position(r.names, r.month), try_cast(r.month AS INTEGER)) AS VARCHAR) AS month, coalesce(r.doi, f.doi) AS doi, array_to_string(list_transform(coalesce(r.authors, f.authors), lambda x: trim(x)), '|') AS authors
+      FROM m r JOIN cand f ON f.ref_id = r.ref_id AND f.cand_ord = 1""",
+    "recorded_outputs": """SELECT event_id AS ref_id, CASE WHEN event_id % 4 = 0 THEN props END AS object, CASE WHEN event_id % 4 = 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events""",
+    "result_rows": f"""WITH {CAND}, {REFS}, {STRINGS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, ref_id, 'other' AS type, CASE WHEN ref_id % 19 = 0 THEN reference || ' [ERROR]' ELSE reference END AS formatted,
+      CASE WHEN ref_id % 19 = 0 THEN 'error' WHEN ref_id % 23 = 0 THEN 'skipped' ELSE 'success' END AS status, CASE WHEN ref_id % 19 = 0 THEN 'lookup failed' END AS error FROM strings""",
+    "evidence": f"""WITH {CAND}, {REFS}, l AS (
+        SELECT ref_id, 0 AS a, 0 AS b, 'DOI' AS label, 'https://doi.org/10.1000/' || ref_id AS url FROM refs WHERE doi IS NOT NULL
+        UNION ALL SELECT ref_id, cand_ord, 0, 'Crossref (DOI)', 'https://doi.org/' || doi FROM cand WHERE source = 'crossref'
+        UNION ALL SELECT ref_id, cand_ord, 1, 'Publisher (from Crossref)', 'https://pub.org/' || ref_id FROM cand WHERE source = 'crossref'
+        UNION ALL SELECT ref_id, cand_ord, 0, 'IEEE Xplore', 'https://lib.org/' || ref_id FROM cand WHERE source = 'ieeexplore'
+        UNION ALL SELECT ref_id, cand_ord, 0, 'OpenAlex', 'https://oa.org/W' || ref_id FROM cand WHERE source = 'openalex'
+        UNION ALL SELECT ref_id, cand_ord, 0, 'Semantic Scholar (DOI)', 'https://www.semanticscholar.org/doi/' || doi FROM cand WHERE source = 'semanticscholar'
+        UNION ALL SELECT ref_id, cand_ord, 1, 'Semantic Scholar', 'https://www.semanticscholar.org/paper/' || ref_id FROM cand WHERE source = 'semanticscholar'
+        UNION ALL SELECT ref_id, cand_ord, 0, 'PubMed', 'https://pubmed.ncbi.nlm.nih.gov/' || volume || '/' FROM cand WHERE source = 'pubmed'
+        UNION ALL SELECT ref_id, cand_ord, 9, 'DOI', 'https://doi.org/' || doi FROM cand),
+      f AS (SELECT ref_id, url, min(struct_pack(a := a, b := b, label := label)) AS f FROM l WHERE url IS NOT NULL GROUP BY ALL)
+      SELECT ref_id, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY f.a, f.b) AS INTEGER) AS ord, f.label AS label, url FROM f""",
 }
 
 

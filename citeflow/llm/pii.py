@@ -19,7 +19,7 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 KINDS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d)",
-    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-]|\.\d)",
+    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
     "card": r"(?<![\w-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?![\w-])",
@@ -27,6 +27,8 @@ KINDS = {
 ANY = "|".join(KINDS.values())
 #: Days from 1800-01-01 to 2199-12-31, one cycle of the calendar: 189 x 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: Those of them after the 12th of a month, in 4800 months: 9 x 9833.
+LATE_DAYS, MONTHS = (9, 9833), 4800
 _LETTERS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -97,17 +99,19 @@ def _card(s: Column, key: Column, back: bool) -> Column:
 
 
 def _phone(s: Column, key: Column, back: bool) -> Column:
-    """Area codes and exchanges keep a first digit from 2 to 9; a country code stays."""
+    """Area codes and exchanges below 200 stay below, others stay from 200 on; a country code stays."""
     national = F.substring(only_digits(s), -10, 10)
-    x = F.substring(national, 1, 3).cast("long") - 200
-    y = (F.substring(national, 4, 3).cast("long") - 200) * 10_000 + F.substring(national, 7, 4).cast("long")
     prefix = F.substring(only_digits(s), F.lit(1), F.length(only_digits(s)) - 10)
 
-    def shown(z: Column) -> Column:
-        y = z["y"]
-        return F.concat(prefix, (z["x"] + 200).cast("string"), (F.floor(y / 10_000) + 200).cast("string"), F.lpad((y % 10_000).cast("string"), 4, "0"))
+    def moved(v: Column) -> Column:
+        low = [F.when(v[h] < 200, 0).otherwise(200) for h in ("area", "exchange")]
+        size = [F.when(v[h] < 200, 200).otherwise(800) for h in ("area", "exchange")]
+        x, y = v["area"] - low[0], (v["exchange"] - low[1]) * 10_000 + v["line"]
+        shown = lambda z: F.concat(prefix, F.format_string("%03d%03d%04d", z["x"] + low[0], F.floor(z["y"] / 10_000) + low[1], z["y"] % 10_000))
+        return _bind(feistel(x, y, size[0], size[1] * 10_000, key, back=back), shown)
 
-    return _bind(_bind(feistel(x, y, 800, 8_000_000, key, back=back), shown), lambda d: _refill(s, d))
+    part = lambda at, n, name: F.substring(national, at, n).cast("long").alias(name)
+    return _bind(_bind(F.struct(part(1, 3, "area"), part(4, 3, "exchange"), part(7, 4, "line")), moved), lambda d: _refill(s, d))
 
 
 def _ip(s: Column, key: Column, back: bool) -> Column:
@@ -129,23 +133,62 @@ def _ssn(s: Column, key: Column, back: bool) -> Column:
     return _bind(feistel(x, y, 898, 99 * 9_999, key, back=back), shown)
 
 
+def _make_date(year: Column, month: Column, day: Column) -> Column:
+    zero = F.lit(0)
+    return F.try_make_timestamp(year.cast("int"), month.cast("int"), day.cast("int"), zero, zero, zero).cast("date")
+
+
+def _is_iso(s: Column) -> Column:
+    return F.substring(s, 5, 1) == "-"
+
+
+def _day_first(s: Column) -> Column:
+    """The date of a match with the year first, or with the day before the month."""
+    parts, iso = F.split(s, r"[-/.]"), _is_iso(s)
+    return F.when(iso, _make_date(parts[0], parts[1], parts[2])).otherwise(_make_date(parts[2], parts[1], parts[0]))
+
+
 def as_date(s: Column) -> Column:
-    """The date that a match names (day before month where the year comes last), or null if there is none."""
+    """The date that a match names, or null if there is none. Where the year comes last the day is before the month, or
+    after it where that is no date."""
     parts = F.split(s, r"[-/.]")
-    iso = F.substring(s, 5, 1) == "-"
-    part = lambda i, j: F.when(iso, parts[i]).otherwise(parts[j]).cast("int")
-    return F.try_make_timestamp(part(0, 2), part(1, 1), part(2, 0), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    return F.coalesce(_day_first(s), F.when(~_is_iso(s), _make_date(parts[2], parts[0], parts[1])))
+
+
+def _late_rank(day: Column) -> Column:
+    """The place of a day after the 12th among such days."""
+    first = F.lit(FIRST_DAY).cast("date")
+    months = (F.year(day) - F.year(first)) * 12 + F.month(day)
+    return F.datediff(day, first) - 12 * months
+
+
+def _late_day(rank: Column) -> Column:
+    """The day at a place among those after the 12th."""
+    first = F.lit(FIRST_DAY).cast("date")
+    before = lambda m: F.datediff(F.add_months(first, m.cast("int")), first) - 12 * m
+    near = F.floor(rank * MONTHS / (LATE_DAYS[0] * LATE_DAYS[1]))
+    month = F.array_max(F.filter(F.array(near - 1, near, near + 1), lambda m: (m >= 0) & (m < MONTHS) & (before(m) <= rank)))
+    return _bind(month, lambda m: F.date_add(F.add_months(first, m.cast("int")), (rank - before(m) + 12).cast("int")))
 
 
 def _date(s: Column, key: Column, back: bool) -> Column:
-    a, b = DAYS
-    day = F.datediff(as_date(s), F.lit(FIRST_DAY).cast("date"))
+    """Dates with the month first, whose day is after the 12th, are permuted among themselves."""
+    first = F.lit(FIRST_DAY).cast("date")
 
-    def shown(z: Column) -> Column:
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), (z["x"] * b + z["y"]).cast("int"))
-        return F.when(F.substring(s, 5, 1) == "-", F.date_format(new, "yyyy-MM-dd")).when(F.contains(s, F.lit("/")), F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
+    def written(new: Column, *order: str) -> Column:
+        parts = [F.date_format(new, p) for p in order]
+        return F.when(F.contains(s, F.lit("/")), F.concat_ws("/", *parts)).otherwise(F.concat_ws(".", *parts))
+
+    def moved(n: Column, domain: tuple[int, int], own: Column) -> Column:
+        a, b = domain
+        return _bind(n, lambda d: _bind(feistel(F.floor(d / b), d % b, a, b, own, back=back), lambda z: z["x"] * b + z["y"]))
+
+    def shown(new: Column) -> Column:
+        return F.when(_is_iso(s), F.date_format(new, "yyyy-MM-dd")).otherwise(written(new, "dd", "MM", "yyyy"))
 
-    return _bind(_bind(day, lambda d: feistel(F.floor(d / b), d % b, a, b, key, back=back)), shown)
+    usual = _bind(moved(F.datediff(_day_first(s), first), DAYS, key), lambda n: _bind(F.date_add(first, n.cast("int")), shown))
+    late = _bind(moved(_late_rank(as_date(s)), LATE_DAYS, F.concat(key, F.lit("late"))), lambda n: _bind(_late_day(n), lambda d: written(d, "MM", "dd", "yyyy")))
+    return F.when(_day_first(s).isNotNull(), usual).otherwise(late)
 
 
 def _email(s: Column, key: Column, back: bool) -> Column:

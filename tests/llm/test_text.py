@@ -183,3 +183,26 @@ def test_clean_texts_stay(spark, odd_docs):
     df = spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string")
     assert {r["doc_id"]: (r["text"], r["n_private"]) for r in pii.mask(df).collect()} == {i: (t, 0) for i, t in enumerate(clean)}
     assert {(r[0], r[1]) for r in rows(pii.mask(odd_docs))} == {(r["doc_id"], r["text"]) for r in odd_docs.collect()}
+
+
+def test_phones_of_any_area_and_dates_with_the_month_first(spark):
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (171) 555-2028", "017-555-7713", "(229) 155-4838", "1-017.055.0001"]
+    dates = ["03/25/2020", "12.31.1999", "02/29/2024", "01/13/1800", "12/31/2199"]
+    clean = ["13/13/2020", "02/30/2023", "02/29/2023"]
+    docs = list(enumerate(f"at {v}, then {v}." for v in phones + dates + clean))
+    got = {r["doc_id"]: r for r in pii.mask(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, v in enumerate(phones + dates):
+        kind, new = "phone" if i < len(phones) else "date", got[i]["found"][0]["pseudonym"]
+        assert [f["kind"] for f in got[i]["found"]] == [kind, kind] and got[i]["text"] == f"at {new}, then {new}."
+        assert new != v and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", v)
+        assert kind == "phone" or 1 <= int(new[:2]) <= 12 < int(new[3:5])
+    assert all(got[len(phones + dates) + i]["n_private"] == 0 for i in range(len(clean)))
+    back = pii.mask(spark.createDataFrame([(i, r["text"]) for i, r in got.items()], "doc_id long, text string"), back=True)
+    assert dict(docs) == {r["doc_id"]: r["text"] for r in back.collect()}
+
+
+def test_days_after_the_twelfth_have_ranks(spark):
+    n = pii.LATE_DAYS[0] * pii.LATE_DAYS[1]
+    day = pii._late_day(F.col("id"))
+    got = spark.range(n).select("id", day.alias("day")).select(F.count_distinct("day"), F.min(F.day("day")), F.min("day").cast("string"), F.max("day").cast("string"), F.sum((pii._late_rank(F.col("day")) == F.col("id")).cast("int")))
+    assert tuple(got.first()) == (n, 13, "1800-01-13", "2199-12-31", n)

@@ -213,8 +213,13 @@ def _labelled(docs: DataFrame, words: int, radius: int, bucket: int) -> DataFram
 def drop_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """The rows of ``docs`` with all their columns, one document of each component: the smallest doc_id, and of
     rows that share it the first by text hash."""
+    return first_of_each(docs, _labelled(docs, words, radius, bucket))
+
+
+def first_of_each(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one of each root of ``labelled`` (doc_id, ident, mark, root)."""
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ident", "mark")
-    best = _labelled(docs, words, radius, bucket).groupBy("root").agg(F.min(one).alias("k")).select("k.ident", "k.mark")
+    best = labelled.groupBy("root").agg(F.min(one).alias("k")).select("k.ident", "k.mark")
     ident, mark = row_key()
     rows = docs.select(ident.alias("ident"), mark.alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = rows.join(best, ["ident", "mark"], "left_semi")

@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = "citeflow-default-key"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-#: What may be personal data, most specific first; none can start or end inside a longer word or number.
+#: What may be personal data, most specific first; none can start or end inside a longer word or number. An address has
+#: at most 64 characters before the @ and 127 labels after it, as the mail and name standards say; so no repetition of
+#: a group is unbounded, which Java's matcher would follow by recursion.
 KINDS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![\w-])",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d)",
     "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
@@ -242,12 +243,13 @@ def pseudonym(s: Column, kind: Column, key: Column, back: bool = False) -> Colum
     return out
 
 
-def mask(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
+def mask(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """One row per document: doc_id, text (with pseudonyms), n_private, found (array of kind and pseudonym, in order).
 
     ``key`` is a secret of the caller's. A null text stays null; texts without personal data are unchanged; numbers
     and dates that don't validate stay. Repeated rows get a row each, other columns are not read, an empty table gives
-    no rows. Narrow: no shuffle and no Python.
+    no rows. Narrow: no shuffle and no Python. A text is worked on whole by its task; memory grows with its length and
+    its number of matches, and no match is longer than some thousand characters.
     """
     k = F.lit(key)
     text = F.col("text").cast("string")

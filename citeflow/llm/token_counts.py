@@ -15,13 +15,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, Scratch, row_key, scratch_dir, text_or_empty
 
 #: Distinct words that a Python worker keeps.
 TABLE = 1_000_000
+#: Missing digests, of some 100 bytes each, that are told to every task at most.
+FEW = 100_000
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -80,27 +82,18 @@ class Counter:
         """Tokens of a whole text. Where white space never enters a token, each distinct word is encoded once."""
         if self.words is None:
             return self.encode([text.decode()])[0]
-        known = self.words
-        # capitals change nothing, as the tokenizer lower-cases; special strings are told apart by case
-        parts = text.split() if b"<|" in text else text.lower().split()
+        known, parts = self.words, text.split()
         try:
             return sum([known[w] for w in parts])
         except KeyError:
             if len(known) > TABLE:
                 known.clear()
-            self.learn({w for w in parts if w not in known})
+            new = [w for w in set(parts) if w not in known]
+            for at in range(0, len(new), 10_000):
+                some = new[at : at + 10_000]
+                known.update(zip(some, self.encode([w.decode() for w in some])))
             return sum([known[w] for w in parts])
 
-    def learn(self, new: set[bytes]) -> None:
-        """Encode words that the table lacks; a stop or comma after a letter or digit is a token of its own."""
-        known = self.words
-        bare = {w: w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else w for w in new}
-        some = [w for w in {*bare.values(), b".", b","} if w not in known]
-        for at in range(0, len(some), 10_000):
-            part = some[at : at + 10_000]
-            known.update(zip(part, self.encode([w.decode() for w in part])))
-        known.update({w: known[b] + known[w[-1:]] for w, b in bare.items() if b != w})
-
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +121,28 @@ def read_cache(spark, cache: str, tokenizer: str) -> DataFrame:
     return rows.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def _one_text_each(docs: DataFrame, missing: DataFrame) -> DataFrame:
+    """(digest, text) for each row of ``missing`` (digest, ident, mark): the text of one row of that key. Few misses
+    are told to every task, so that other texts stay where they are; beyond that texts move by key. Repeats of a row
+    are left out before they move, in each task but for one."""
+    ident, mark = row_key()
+    texts = docs.select(ident.alias("ident"), mark.alias("mark"), text_or_empty().cast("binary").alias("text"))
+    first = F.row_number().over(Window.partitionBy("ident", "mark").orderBy("mark"))
+    one = lambda rows: rows.withColumn("place", first).where("place = 1").drop("place")
+    if missing.count() <= FEW:
+        return one(texts.join(F.broadcast(missing), ["ident", "mark"])).select("digest", "text")
+    return one(texts).join(missing, ["ident", "mark"]).select("digest", "text")
+
+
 def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: int = 2048) -> DataFrame:
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``).
 
     ``path`` is a tokenizers .json or a sentencepiece .model file that executors can open; ``cache`` a folder of
     Parquet that is read and appended to (a new one in the shared scratch folder if none is given). No begin, end or
     added special tokens; special strings inside texts as the library takes them. Null texts count as empty: no
-    tokens. Repeated rows get a row each, other columns are not read, an empty table gives no rows.
+    tokens. Repeated rows get a row each, and a digest is encoded and stored once however often it occurs. Other
+    columns are not read, an empty table gives no rows. A text is encoded whole, in one task; where words can be
+    counted one by one it takes memory for its words only, else what the library needs for the whole text.
     """
     spark = docs.sparkSession
     cache = cache or f"{scratch_dir(spark)}/token-cache-{uuid.uuid4().hex}"
@@ -143,10 +151,10 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     keyed = docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), content_digest(path).alias("digest"), ident.alias("ident"), mark.alias("mark"))
     keyed = scratch.keep(keyed, "keyed")
     one = keyed.groupBy("digest").agg(F.min(F.struct("ident", "mark")).alias("k"))
-    missing = one.join(read_cache(spark, cache, name), "digest", "left_anti").select("digest", "k.ident", "k.mark")
-    texts = docs.select(ident.alias("ident"), mark.alias("mark"), text_or_empty().cast("binary").alias("text"))
-    new = texts.join(missing, ["ident", "mark"]).select("digest", "text").mapInArrow(_count(path), "digest binary, n_tokens long")
+    missing = scratch.keep(one.join(read_cache(spark, cache, name), "digest", "left_anti").select("digest", "k.ident", "k.mark"), "missing")
+    new = _one_text_each(docs, missing).mapInArrow(_count(path), "digest binary, n_tokens long")
     new.select("digest", F.lit(name).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, name)
+    wanted = read_cache(spark, cache, name).join(keyed.select("digest").distinct(), "digest", "left_semi")
+    counts = scratch.keep(wanted, "counts")  # a table, so that the rows of a frequent digest can be split
     out = keyed.join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,7 +1,7 @@
 """Exact deduplication with a heavy-hitter split.
 
 Misra-Gries summaries of every task, merged, name the digests that may be frequent; one more pass counts these
-exactly. The verified winners (at most ``counters`` rows, about 60 bytes each) are broadcast, and copies of them leave
+exactly. The verified winners (at most ``counters`` rows, about 60 bytes each) are broadcast, and their rows are settled
 on the map side. Only the remaining digests are shuffled, and none of their groups exceeds ``rows / counters``.
 """
 
@@ -60,10 +60,12 @@ def heavy_digests(digests: DataFrame, counters: int = COUNTERS) -> list[bytes]:
 
 
 def winners(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """Exact (digest, keep_id, group_size) of the frequent digests: at most ``counters`` rows."""
+    """Exact (digest, win_id, win_uid, win_size) of the frequent digests: at most ``counters`` rows. Rows of ``digests``
+    (doc_id, digest, uid) that share the smallest id, or have none, are told apart by uid."""
     found = heavy_digests(digests, counters)
     heavy = digests.where(F.col("digest").isin(found)) if found else digests.where("false")
-    return heavy.groupBy("digest").agg(F.min("doc_id").alias("win_id"), F.count("*").alias("win_size"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("w")
+    return heavy.groupBy("digest").agg(first, F.count("*").alias("win_size")).select("digest", F.col("w.doc_id").alias("win_id"), F.col("w.uid").alias("win_uid"), "win_size")
 
 
 def _first(digest: str = "digest") -> Window:
@@ -76,29 +78,30 @@ def dedup_report(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     Texts are equal when they are identical after each run of white space became one space. The row with the
     smallest doc_id stays; a null doc_id comes after all others; of repeated rows (same id, equal text) exactly one
     stays. A null text counts as empty, and all empty texts are equal. Other columns are not read, an empty table
-    gives no rows.
+    gives no rows. A text is read whole by its task and leaves it as a digest, however long it is.
     """
     spark = docs.sparkSession
     slim = docs.select("doc_id", F.unhex(F.sha2(normalised(), 256)).alias("digest"))
-    slim = Scratch(spark).keep(slim, "digests")
+    slim = Scratch(spark).keep(slim.withColumn("uid", F.monotonically_increasing_id()), "digests")
     tagged = slim.join(F.broadcast(winners(slim, counters)), "digest", "left")
-    copy = F.col("win_size").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("win_id"))
     whole = Window.partitionBy("digest")
-    rest = tagged.where(~copy).select(
+    rest = tagged.where("win_size is null").select(
         "doc_id",
-        F.coalesce("win_id", F.min("doc_id").over(whole)).alias("keep_id"),
-        F.coalesce("win_size", F.count("*").over(whole)).alias("group_size"),
+        F.min("doc_id").over(whole).alias("keep_id"),
+        F.count("*").over(whole).alias("group_size"),
         (F.row_number().over(_first()) == 1).alias("kept"),
         "digest",
     )
-    copies = tagged.where(copy).select("doc_id", F.col("win_id").alias("keep_id"), F.col("win_size").alias("group_size"), F.lit(False).alias("kept"), "digest")
-    return rest.unionAll(copies).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    frequent = tagged.where("win_size is not null").select(
+        "doc_id", F.col("win_id").alias("keep_id"), F.col("win_size").alias("group_size"), (F.col("uid") == F.col("win_uid")).alias("kept"), "digest"
+    )
+    return rest.unionAll(frequent).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, whatever these are called. Rules of ``dedup_report``."""
     digest = F.unhex(F.sha2(normalised(), 256)).alias("digest")
-    slim = Scratch(docs.sparkSession).keep(docs.select("doc_id", digest), "digests")
+    slim = Scratch(docs.sparkSession).keep(docs.select("doc_id", digest).withColumn("uid", F.monotonically_increasing_id()), "digests")
     rows = docs.select("doc_id", digest, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     tagged = rows.join(F.broadcast(winners(slim, counters)), "digest", "left")
     left = tagged.where(F.col("win_size").isNull() | F.col("doc_id").eqNullSafe(F.col("win_id")))

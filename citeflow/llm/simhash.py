@@ -153,8 +153,6 @@ def _midpoint_links(hot: DataFrame, radius: int) -> DataFrame:
     flipping at most ``radius / 2`` of the bits that their table masks away, and all that reach a value are within
     ``radius`` of each other. So each is linked to the value's smallest member, and no pair is missed."""
     spark = hot.sparkSession
-    if radius % 2:
-        raise ValueError("midpoints need an even radius")
     half = radius // 2
     rows = []
     for t, m in enumerate(masks(radius)):
@@ -176,6 +174,8 @@ def fingerprint_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def link_fingerprints(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """``fps`` (fp long, distinct) -> (node, root): linked fingerprints with the smallest of their component."""
+    if radius % 2:
+        raise ValueError("the radius must be even: buckets that are too large for one task go through midpoints")
     n = shuffle_partitions(fps.sparkSession)
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)])
     entries = fps.select("fp", F.posexplode(keys).alias("tab", "key")).select("tab", "key", "fp")
@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
 
     A-Z are lower-cased, words are runs of non-white-space, shingles are ``words`` of them; a text of fewer words is
     one shingle, a text of none (or a null) has fingerprint zero and is linked like any other. Null ids don't count
-    as smallest unless a component has no other. Repeated rows get a row each. An empty table gives no rows.
+    as smallest unless a component has no other. Repeated rows get a row each. An empty table gives no rows. A text is
+    hashed whole, in blocks of shingles; ``radius`` must be even.
     """
     return _labelled(docs, words, radius, bucket).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
@@ -206,13 +207,17 @@ def _labelled(docs: DataFrame, words: int, radius: int, bucket: int) -> DataFram
     lows = table.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = link_fingerprints(lows.select("fp"), scratch, radius, bucket)
     labelled = lows.join(roots, lows.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    small = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    return table.join(labelled.join(small, "root").select("fp", "root", "component_id"), "fp")
+    # both sides of each join are tables, so that the rows of a giant component or of a frequent fingerprint can be split
+    labelled = scratch.keep(labelled, "labelled")
+    small = scratch.keep(labelled.groupBy("root").agg(F.min("low").alias("component_id")), "components")
+    names = scratch.keep(labelled.join(small, "root").select("fp", "root", "component_id"), "names")
+    return table.join(names, "fp")
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """The rows of ``docs`` with all their columns, one document of each component: the smallest doc_id, and of
-    rows that share it the first by text hash."""
+    rows that share it the first by text hash. Null ids come last, of repeated rows one stays, null and empty texts
+    have fingerprint zero; an empty table gives no rows."""
     return first_of_each(docs, _labelled(docs, words, radius, bucket))
 
 

@@ -24,7 +24,11 @@ from .common import text_or_empty
 
 #: Most labelled documents of each class that are used to fit, and most features that the model keeps.
 SAMPLE, FEATURES = 1500, 2000
-#: A toxic document's grade by its count of marker words: below 3, below 6, or more.
+#: Characters of the longest text that is used to fit.
+LONGEST = 200_000
+#: Grades above 0, and the weight of the ridge.
+GRADES, RIDGE = 3, 2e-5
+#: Where labels are 0 or 1 only, a toxic document's grade by its count of marker words: below 3, below 6, or more.
 GRADE_COUNTS = (3, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 _HEAD = 4
@@ -75,22 +79,33 @@ def _distinct(texts: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
     return kept
 
 
-def fit(texts: list[tuple[str, int]], rounds: int = 400) -> Model:
-    """Fit on (text, toxic) pairs. Without both classes the model has no weights and finds nothing toxic.
+@dataclass(frozen=True)
+class Design:
+    """What the regression sees: rows, features and values of the non-zero entries, and the rows' grades."""
+
+    names: list[str]
+    row: np.ndarray
+    feature: np.ndarray
+    value: np.ndarray
+    grade: np.ndarray
+
 
-    Labels are 0 or 1. Features whose frequency differs between the classes beyond chance (chi-squared, corrected for
-    their number) and that lean to toxic are kept. Those that clean texts hardly ever have are markers, and a toxic
-    text's grade is 1 to 3 by its count of marker words.
+def design(texts: list[tuple[str, int]]) -> Design | None:
+    """Features and grades of labelled texts, or None without both classes or any telling feature.
+
+    Features whose frequency differs between clean and toxic texts beyond chance (chi-squared, corrected for their
+    number) and that lean to toxic are kept. Grades above 1 are taken as given. Where labels are only 0 or 1 they say
+    nothing of how severe a toxic text is; then its grade is 1 to 3 by its count of marker words, which are kept words
+    that clean texts hardly ever have. Such grades order texts by how much they hold, no more.
     """
     rows = _distinct(texts)
-    y = np.array([t for _, t in rows])
+    y = np.array([min(t, 1) for _, t in rows])
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    none = Model({}, (20.0, 21.0, 22.0))
     if not n1 or not n0:
-        return none
+        return None
     counts = [Counter(f for w in words for f in features(w)) for words, _ in rows]
     held: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for c, (_, t) in zip(counts, rows):
+    for c, t in zip(counts, y):
         for f in c:
             held[f][t] += 1
     total, need = n0 + n1, 2 * np.log(max(2, len(held))) + 4
@@ -104,40 +119,56 @@ def fit(texts: list[tuple[str, int]], rounds: int = 400) -> Model:
             strength[f] = chi
     chosen = sorted(strength, key=lambda f: (-strength[f], f))[:FEATURES]
     if not chosen:
-        return none
-    markers = {f for f in chosen if held[f][0] / n0 <= 0.002}
+        return None
+    grade = np.array([min(t, GRADES) for _, t in rows])
+    if grade.max() == 1:
+        markers = {f for f in chosen if held[f][0] / n0 <= 0.002}
+        hits = np.array([sum(any(f in markers for f in features(w)) for w in words) for words, _ in rows])
+        grade = np.where(y == 1, 1 + np.searchsorted(GRADE_COUNTS, hits, side="right"), 0)
     index = {f: i for i, f in enumerate(chosen)}
-    hits = np.array([sum(any(f in markers for f in features(w)) for w in words) for words, _ in rows])
-    grade = np.where(y == 1, 1 + np.searchsorted(GRADE_COUNTS, hits, side="right"), 0)
     at = [(i, index[f], 1 + np.log(n)) for i, c in enumerate(counts) for f, n in c.items() if f in index]
-    r, k, v = np.array([a[0] for a in at]), np.array([a[1] for a in at]), np.array([a[2] for a in at])
-    w, cuts = np.zeros(len(chosen)), np.array([1.0, 2.0, 3.0])
-    above = (grade[:, None] > np.arange(len(cuts))).astype(float)
-    m1, m2, step = np.zeros(len(w) + len(cuts)), np.zeros(len(w) + len(cuts)), 0.1
+    return Design(chosen, *(np.array(x) for x in zip(*at)), grade)
+
+
+def fit(texts: list[tuple[str, int]], rounds: int = 400) -> Model:
+    """Fit on (text, grade) pairs: one weight for each feature, shared by the ordered thresholds, by the likelihood of
+    the cumulative-link model with a small ridge. Without both classes the model has no weights and finds nothing
+    toxic."""
+    d = design(texts)
+    if d is None:
+        return Model({}, (20.0, 21.0, 22.0))
+    n, r, k, v = len(d.grade), d.row, d.feature, d.value
+    w, cuts = np.zeros(len(d.names)), np.arange(1.0, GRADES + 1)
+    above = (d.grade[:, None] > np.arange(GRADES)).astype(float)
+    m1, m2, step = np.zeros(len(w) + GRADES), np.zeros(len(w) + GRADES), 0.1
     for t in range(1, rounds + 1):
-        x = np.bincount(r, weights=v * w[k], minlength=len(rows))
+        x = np.bincount(r, weights=v * w[k], minlength=n)
         off = 1 / (1 + np.exp(np.clip(cuts - x[:, None], -500, 500))) - above
-        gw = np.bincount(k, weights=v * off.sum(axis=1)[r], minlength=len(w)) / len(rows) + 2e-5 * w
+        gw = np.bincount(k, weights=v * off.sum(axis=1)[r], minlength=len(w)) / n + RIDGE * w
         g = np.concatenate([gw, -off.mean(axis=0)])
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = step * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
         w, cuts = w - move[: len(w)], np.maximum.accumulate(cuts - move[len(w) :])
         w = np.maximum(w, 0)  # the features chosen lean to toxic
-    return Model({f: float(w[i]) for f, i in index.items() if w[i] > 0}, tuple(map(float, cuts)))
+    return Model({f: float(x) for f, x in zip(d.names, w) if x > 0}, tuple(map(float, cuts)))
 
 
-def fit_table(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents of each class, chosen by a hash of their id.
+def fit_table(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """Fit on at most ``sample`` labelled documents of each grade, chosen by a hash of their id, of texts of up to
+    ``longest`` characters (longer ones are left out of the fit, not cut).
 
-    Labels other than 0 and 1, labels without a document and documents without a label are left out. This bounded
-    sample is all that reaches the driver.
+    Labels other than 0 to 3, labels without a document and documents without a label are left out; of several
+    documents of one id the first by text counts, of several labels the highest. This sample is all that reaches the
+    driver: at most ``4 * sample`` texts. Empty tables give a model that finds nothing toxic.
     """
-    own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").between(0, GRADES))
+    own = own.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).where(F.length("text") <= longest)
     rows = None
-    for y in (0, 1):
-        ids = own.where(F.col("toxic") == y).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
+    for y in range(GRADES + 1):
+        ids = own.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
         rows = ids if rows is None else rows.unionAll(ids)
-    found = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(F.broadcast(rows), "id")
+    found = texts.join(F.broadcast(rows), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     got = sorted((r["id"], r["text"], r["toxic"]) for r in found.collect())
     return fit([(t, y) for _, t, y in got])
 
@@ -159,7 +190,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
     time), toxic (grade over 0).
 
     A null or empty text has no features and is not toxic. Repeated rows get a row each, other columns are not read,
-    an empty table gives no rows.
+    an empty table gives no rows. A text is read whole; memory grows with its number of words.
     """
     slim = docs.select("doc_id", text_or_empty().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()

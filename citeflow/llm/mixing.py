@@ -17,12 +17,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACES, Scratch, row_key
+from .common import NOT_SPACES, Scratch, row_key, shuffle_partitions
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK_WORDS, SHARD_WORDS, SEED = 50_000, 20_000_000, 20_240_601
 #: Tasks that write one shard; each holds a random part of it in random order.
 PIECES = 8
+#: Most blocks of a source: these are numbered in one task, so beyond that blocks grow instead.
+BLOCKS = 100_000
+#: Level of the splitting tree at which its ranges are dealt to tasks.
+SPREAD = 8
+#: Groups of repeated rows, of some 20 bytes each, that are told to every task at most.
+FEW = 100_000
 
 
 def words(text: Column) -> Column:
@@ -71,27 +77,34 @@ def _hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Co
     mean = F.when(n > 0, d * g / n).otherwise(F.lit(0.0))
     spread = F.when(n > 1, F.sqrt(mean * (n - g) / n * (n - d) / (n - 1))).otherwise(F.lit(0.0))
     low = F.greatest(F.lit(0.0), d - (n - g), F.floor(mean - spread * 12 - 12)).cast("long")
-    high = F.least(g, d, F.ceil(mean + spread * 12 + 12)).cast("long")
+    high = F.greatest(low, F.least(g, d, F.ceil(mean + spread * 12 + 12)).cast("long"))
 
-    def step(acc: Column, k: Column) -> Column:
-        x = k.cast("double")
-        p = F.when(k == low, F.lit(1.0)).otherwise(acc["p"] * (g - x + 1) * (d - x + 1) / (x * (n - g - d + x)))
-        return F.struct(p.alias("p"), F.concat(acc["sums"], F.array(acc["last"] + p)).alias("sums"), (acc["last"] + p).alias("last"))
+    def walk(until: Column) -> Column:
+        """Sum of the probabilities, as multiples of the first, and how many partial sums stay below ``until``."""
 
-    start = F.struct(F.lit(0.0).alias("p"), F.array().cast("array<double>").alias("sums"), F.lit(0.0).alias("last"))
-    summed = F.aggregate(F.sequence(low, F.greatest(low, high)), start, step)
-    below = F.aggregate(F.array(summed), F.lit(0).cast("long"), lambda _, s: F.size(F.filter(s["sums"], lambda c: c < u * s["last"])).cast("long"))
+        def step(acc: Column, k: Column) -> Column:
+            x = k.cast("double")
+            p = F.when(k == low, F.lit(1.0)).otherwise(acc["p"] * (g - x + 1) * (d - x + 1) / (x * (n - g - d + x)))
+            return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"), (acc["below"] + (acc["sum"] + p < until).cast("long")).alias("below"))
+
+        start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("below"))
+        return F.aggregate(F.sequence(low, high), start, step)
+
+    below = F.aggregate(F.array(walk(F.lit(0.0))["sum"]), F.lit(0).cast("long"), lambda _, whole: walk(u * whole)["below"])
     return F.when(low >= high, low).otherwise(F.least(high, low + below))
 
 
 def split_tree(counts: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
     """(place, draws) of each source -> (shard, place, quota) for ``2 ** levels`` shards.
 
-    Quotas of a source add up to its draws, and a shard's totals differ by at most one from an even share.
+    Quotas of a source add up to its draws, and a shard's totals differ by at most one from an even share. A row holds
+    one number for each source. From level ``SPREAD`` on, each task works on the subtrees of its own shard ranges.
     """
     urn = counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "draws"))), lambda s: s["draws"]).alias("urn"))
     tree = urn.where(F.size("urn") > 0).select(F.lit(0).cast("long").alias("shard"), "urn")
     for level in range(levels):
+        if level == SPREAD:
+            tree = tree.repartition(shuffle_partitions(counts.sparkSession), "shard")
 
         def draw(acc: Column, n: Column) -> Column:
             u = _uniform(F.lit(seed), F.lit(level), acc["shard"], F.size(acc["got"]))
@@ -116,6 +129,18 @@ def split_tree(counts: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
     return tree.select("shard", F.posexplode("urn").alias("place", "quota"))
 
 
+def _repeats_dealt(sized: DataFrame, scratch: Scratch, block_words: int) -> DataFrame:
+    """Repeats of a row share a hash and so a block. Where they would fill one by themselves, each is hashed with its
+    uid; such groups are no more than there are blocks."""
+    many = sized.groupBy("h").agg(F.sum("size").alias("all"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("all") > block_words))
+    many = scratch.keep(many.select("h", F.lit(True).alias("often")), "repeats")
+    n = many.count()
+    if not n:
+        return sized
+    rows = sized.join(F.broadcast(many) if n <= FEW else many, "h", "left")
+    return scratch.keep(rows.withColumn("h", F.when(F.col("often"), F.xxhash64("h", "uid")).otherwise(F.col("h"))).drop("often"), "dealt")
+
+
 def plan_mix(
     docs: DataFrame,
     scratch: Scratch,
@@ -132,10 +157,12 @@ def plan_mix(
     """
     ident, mark = row_key()
     sized = scratch.keep(docs.select("uid", "doc_id", source_key().alias("skey"), words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), ident, mark).alias("h")), "sized")
+    sized = _repeats_dealt(sized, scratch, block_words)
     goals = scratch.keep(targets(sized, weights, share, cap), "targets")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goals = goals.withColumn("full", full).withColumn("left", F.col("target") - F.col("full") * F.col("source_size"))
-    goals = goals.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
+    in_block = F.greatest(F.lit(block_words), F.ceil(F.col("source_size") / BLOCKS))
+    goals = goals.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / in_block)).cast("long"))
     dealt = sized.join(goals.select("skey", "n_blocks", "place"), "skey").withColumn("block", F.pmod("h", "n_blocks")).drop("n_blocks", "skey")
 
     sums = dealt.groupBy("place", "block").agg(F.sum("size").alias("in_block")).withColumn("order", F.xxhash64(F.lit(seed + 1), "place", "block"))
@@ -179,7 +206,9 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 
     Sizes are words (null text: none). Each document of a source is taken ``full`` times, some once more; documents
     of no words add nothing to ``taken``. Null sources are one source, the last; repeated rows are documents of their
-    own; other columns are not read; an empty table gives no rows.
+    own; other columns are not read; an empty table gives no rows. Texts of any length are counted whole and don't
+    move; a text that is larger than its source's rest is passed over for smaller ones. Sources are rows of one task
+    (a number each), documents never are.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", "text")
@@ -188,7 +217,8 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken, dealt to their
-    shards and shuffled within them."""
+    shards and shuffled within them. Rules of ``mix_report``: null sources are one source, null and empty texts have
+    no words (such rows go with the blocks they fall in), an empty table gives no rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     whole = scratch.keep(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")

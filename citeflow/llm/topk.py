@@ -25,7 +25,10 @@ HIGH, FOCUS = 0.3, 4
 def _quantised(scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.floor(scale * np.array(v, np.float64)).astype(np.int64) for v in batch.column(1).to_pylist()]
+            rows = [np.floor(scale * np.array(v, np.float64)) for v in batch.column(1).to_pylist()]
+            if any(np.abs(r).max(initial=0) >= 2.0**63 for r in rows):
+                raise OverflowError("a scaled component does not fit 64 bits: scale the vectors down")
+            rows = [r.astype(np.int64) for r in rows]
             norm = [float(np.sqrt((r.astype(np.float64) ** 2).sum())) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(norm, pa.float64()), pa.array([r.astype("<i8").tobytes() for r in rows], pa.binary())], ["vec_id", "norm", "q"])
 
@@ -48,7 +51,8 @@ def _packed(size: int):
                     m[i, : len(r)] = r
                 ids, norm = part.column("vec_id").to_numpy(), part.column("norm").to_numpy()
                 cols = [pa.array([x], pa.binary()) for x in (ids.astype("<i8").tobytes(), norm.astype("<f8").tobytes(), m.tobytes())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([dim], pa.int32())], ["ids", "norms", "m", "dim"])
+                cols += [pa.array([dim], pa.int32()), pa.array([float(norm.max())], pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, ["ids", "norms", "m", "dim", "longest"])
 
         for batch in batches:
             held.append(batch)
@@ -72,6 +76,8 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     dim = min(a.shape[1], b.shape[1])
     a, b = a[:, :dim], b[:, :dim]
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * dim
+    if most >= 2**63:
+        raise OverflowError("a score may not fit 64 bits: scale the vectors down")
     return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if most < 2**53 else a @ b.T
 
 
@@ -85,53 +91,76 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def retrieve(query: np.ndarray, length: float, own: int, floor: float, block, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's vectors (ids, scores) that may be among the query's k best: all with a score of at least
-    ``floor`` that the block's own k best don't exceed."""
-    ids, norms, m = block
-    longest = float(norms.max(initial=0.0))
-    reach = length * longest
-    if floor > reach * (1 + 1e-9):
-        return ids[:0], norms[:0].astype(np.int64)
-    keep = ids != own
-    t = floor / reach if reach > 0 else -1.0
-    if t >= HIGH:
-        q = query / length
-        t = min(1.0, t) - 1e-7
-        for c in np.argsort(-np.abs(q))[:FOCUS]:
-            if c < unit.shape[1]:
-                room = np.sqrt(max(0.0, (1 - q[c] * q[c]) * (1 - t * t))) + 1e-7
-                keep &= (unit[:, c] >= q[c] * t - room) if q[c] > 0 else (unit[:, c] <= q[c] * t + room)
-    elif floor > 0:
-        keep &= norms * length * (1 + 1e-9) >= floor
-    at = np.flatnonzero(keep)
-    scores = products(query[None], m[at])[0]
-    enough = scores >= floor
-    at, scores = at[enough], scores[enough]
-    best = _best(ids[at], scores, k)
-    return ids[at][best], scores[best]
+class Bucket:
+    """A bucket's vectors with their directions, decoded once for all query blocks that meet it."""
+
+    def __init__(self, ids: bytes, norms: bytes, m: bytes, dim: int):
+        self.ids, self.norms, self.m = _block(ids, norms, m, dim)
+        self.longest = float(self.norms.max(initial=0.0))
+        self.unit = self.m / np.maximum(self.norms, 1e-300)[:, None]
+
+
+def _near_direction(q: np.ndarray, t: float, unit: np.ndarray) -> np.ndarray:
+    """Coordinate pruning: which directions may have a cosine of ``t`` with q, by its largest coordinates."""
+    t = min(1.0, t) - 1e-7
+    keep = np.ones(len(unit), bool)
+    for c in np.argsort(-np.abs(q))[:FOCUS]:
+        if c < unit.shape[1]:
+            room = np.sqrt(max(0.0, (1 - q[c] * q[c]) * (1 - t * t))) + 1e-7
+            keep &= (unit[:, c] >= q[c] * t - room) if q[c] > 0 else (unit[:, c] <= q[c] * t + room)
+    return keep
+
+
+def retrieve(qids: np.ndarray, qnorms: np.ndarray, qm: np.ndarray, floors: np.ndarray, b: Bucket, k: int) -> list[tuple[np.ndarray, ...]]:
+    """(query ids, ids, scores) of the bucket's vectors that may be among a query's k best: all with a score of at
+    least the query's floor that the bucket's own k best don't exceed. Each query's local cosine threshold chooses how
+    the bucket is pruned for it; products of all queries that prune by length are one matrix product."""
+    reach = qnorms * b.longest
+    open_ = floors <= reach * (1 + 1e-9)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(reach > 0, floors / reach, -1.0)
+    out = []
+
+    def settle(i: int, at: np.ndarray, scores: np.ndarray) -> None:
+        enough = (scores >= floors[i]) & (b.ids[at] != qids[i])
+        at, scores = at[enough], scores[enough]
+        if len(at):
+            best = _best(b.ids[at], scores, k)
+            out.append((np.full(len(best), qids[i]), b.ids[at][best], scores[best]))
+
+    for i in np.flatnonzero(open_ & (t >= HIGH)):
+        at = np.flatnonzero(_near_direction(qm[i] / qnorms[i], t[i], b.unit))
+        if len(at):
+            settle(i, at, products(qm[i][None], b.m[at])[0])
+    low = np.flatnonzero(open_ & (t < HIGH))
+    if len(low):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            short = np.where(floors[low] > 0, floors[low] / (qnorms[low] * (1 + 1e-9)), -1.0)
+        at = np.flatnonzero(b.norms >= short.min())
+        scores = products(qm[low], b.m[at])
+        for j, i in enumerate(low):
+            settle(i, at, scores[j])
+    return out
 
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, bucket = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                block = _block(r["ids"], r["norms"], r["m"], r["dim"])
-                unit = block[2] / np.maximum(block[1], 1e-300)[:, None]
+                if r["bucket"] != last:
+                    last, bucket = r["bucket"], Bucket(r["ids"], r["norms"], r["m"], r["dim"])
                 qids, qnorms, qm = _block(r["q_ids"], r["q_norms"], r["q_m"], r["q_dim"])
-                floors = np.frombuffer(r["floors"], "<f8")
-                out: list[tuple[np.ndarray, ...]] = []
-                for i in range(len(qids)):
-                    ids, scores = retrieve(qm[i], qnorms[i], qids[i], floors[i], block, unit, k)
-                    out.append((np.full(len(ids), qids[i]), ids, scores))
-                cols = [pa.array(np.concatenate(c).astype(np.int64), pa.int64()) for c in zip(*out)]
+                out = retrieve(qids, qnorms, qm, np.frombuffer(r["floors"], "<f8"), bucket, k)
+                cols = [pa.array(np.concatenate(c).astype(np.int64) if out else np.zeros(0, np.int64), pa.int64()) for c in (zip(*out) if out else ((), (), ()))]
                 yield pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "score"])
 
     return run
 
 
 def _floors(longest: tuple[np.ndarray, np.ndarray], k: int):
-    """Adds each query's k-th best score among the longest vectors: no final score is below it."""
+    """Adds each query's k-th best score among the longest vectors, which no final score is below, and the length
+    that a vector needs to reach any query's of the block."""
     ids, m = longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +174,10 @@ def _floors(longest: tuple[np.ndarray, np.ndarray], k: int):
                     s[qids[:, None] == ids[None]] = -np.inf
                     if s.shape[1] >= k:
                         f = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                floors.append(f.astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.binary())], names=[*batch.schema.names, "floors"])
+                floors.append(f)
+            need = [float((f / np.maximum(np.frombuffer(n, "<f8"), 1e-300)).min()) for f, n in zip(floors, batch.column("norms").to_pylist())]
+            cols = [*batch.columns, pa.array([f.astype("<f8").tobytes() for f in floors], pa.binary()), pa.array(need, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "floors", "need"])
 
     return run
 
@@ -162,9 +193,10 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, bucket
     components, take no part. Shorter vectors count as padded with zeros. Rows that repeat a vec_id are candidates of
     their own, except for the query of that id, which is taken once. An empty table gives no rows.
 
-    Queries meet candidates in blocks: every pair of a query block (``QUERIES`` rows) and a bucket (``bucket`` rows)
-    is one row of a join, and at most ``k`` results of each query leave it. The ``bucket`` longest vectors, of bounded
-    size, go to all tasks first.
+    Queries meet candidates in blocks: a query block (``QUERIES`` rows) and a bucket (``bucket`` rows) are one row of
+    a join, unless the bucket's vectors are too short for every query of the block, which the join leaves out. At most
+    ``k`` results of each query leave a row. The ``bucket`` longest vectors, of bounded size, go to all tasks first. A scaled component or a score that does not fit
+    64 bits is an error.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -180,14 +212,16 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, bucket
     longest = (np.array([r["vec_id"] for r in top], np.int64), m)
 
     n = max(1, -(-rows.count() // bucket))
-    buckets = rows.repartitionByRange(n, F.desc("norm"), "vec_id").mapInArrow(_packed(bucket), BLOCK)
+    buckets = rows.repartitionByRange(n, F.desc("norm"), "vec_id").mapInArrow(_packed(bucket), f"{BLOCK}, longest double")
     buckets = scratch.keep(buckets.withColumn("bucket", F.monotonically_increasing_id()), "buckets")
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"), F.min_by("norm", "q").alias("norm")).select("vec_id", "norm", "q")
-    blocks = asked.mapInArrow(_packed(QUERIES), BLOCK).mapInArrow(_floors(longest, k), f"{BLOCK}, floors binary")
-    blocks = blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "norms", "m", "dim")], "floors")
+    blocks = asked.mapInArrow(_packed(QUERIES), f"{BLOCK}, longest double").mapInArrow(_floors(longest, k), f"{BLOCK}, longest double, floors binary, need double")
+    blocks = blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "norms", "m", "dim")], "floors", "need")
     slots = shuffle_partitions(spark)  # every slot has some buckets and all query blocks
-    placed = buckets.withColumn("slot", F.pmod(F.xxhash64("bucket"), F.lit(slots))).drop("bucket")
-    pairs = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))).join(placed, "slot").drop("slot")
+    placed = buckets.withColumn("slot", F.pmod(F.xxhash64("bucket"), F.lit(slots)))
+    spread = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    reaches = F.col("longest") * (1 + 1e-9) >= F.col("need")
+    pairs = placed.join(spread, (placed.slot == spread.slot) & reaches).drop("slot", "longest", "need")  # a bucket's pairs in a row
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

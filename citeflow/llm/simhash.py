@@ -23,6 +23,8 @@ from .components import connected_components, contract
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Buckets up to this many fingerprints are compared in one task; larger ones go through midpoints.
 BUCKET = 4096
+#: Shingles that are counted at once.
+BLOCK = 65_536
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -31,7 +33,7 @@ def masks(radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(64) if ((i % n + 1) & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -45,17 +47,27 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     starts = [0, *(e + 1 for e in ends[:-1])]
     ends = ends[min(words, len(parts)) - 1 :]
     ones, n, h = np.zeros(64, np.int64), len(ends), xxhash.xxh64_intdigest
-    for at in range(0, n, 65536):  # long texts in blocks: 64 bytes for each shingle
-        hashed = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts[at : at + 65536], ends[at : at + 65536])), np.uint64)
-        ones += np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, n, BLOCK):  # long texts in blocks: 64 bytes for each shingle
+        ones += _bits(np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])), np.uint64))
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def _bits(hashed: np.ndarray) -> np.ndarray:
+    """How many of some hashes have each bit."""
+    return np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(hashed: np.ndarray) -> int:
+    """The fingerprint of a text by the hashes of its shingles."""
+    ones = sum((_bits(hashed[at : at + BLOCK]) for at in range(0, len(hashed), BLOCK)), np.zeros(64, np.int64))
+    return int.from_bytes(np.packbits(ones * 2 > len(hashed), bitorder="little").tobytes(), "little")
+
+
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            out = pa.array([_signed(fingerprint(t.as_py(), words)) for t in texts], pa.int64())
+            out = pa.array([signed(fingerprint(t.as_py(), words)) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], "fp"])
 
     return run
@@ -157,7 +169,7 @@ def _midpoint_links(hot: DataFrame, radius: int) -> DataFrame:
     rows = []
     for t, m in enumerate(masks(radius)):
         free = [i for i in range(64) if not m >> i & 1]
-        rows += [(t, _signed(sum(1 << i for i in c))) for n in range(half + 1) for c in combinations(free, n)]
+        rows += [(t, signed(sum(1 << i for i in c))) for n in range(half + 1) for c in combinations(free, n)]
     flips = spark.createDataFrame(rows, "hot int, flip long")  # fixed size: tables x flips
     spread = hot.join(F.broadcast(flips), "hot").select("hot", F.col("a").alias("fp"), F.col("a").bitwiseXOR(F.col("flip")).alias("mid"))
     low = spread.groupBy("mid").agg(F.min("fp").alias("low"))
@@ -177,7 +189,7 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, bu
     if radius % 2:
         raise ValueError("the radius must be even: buckets that are too large for one task go through midpoints")
     n = shuffle_partitions(fps.sparkSession)
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)])
+    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(radius)])
     entries = fps.select("fp", F.posexplode(keys).alias("tab", "key")).select("tab", "key", "fp")
     placed = entries.repartition(n, "tab", "key").sortWithinPartitions("tab", "key")
     found = scratch.keep(placed.mapInArrow(_bucket_links(radius, bucket), "hot int, a long, b long"), "found")

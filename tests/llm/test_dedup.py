@@ -195,12 +195,12 @@ def test_fingerprints_in_dense_buckets(spark):
         prints |= {far, far ^ 7}
     prints = sorted(prints)
     comp = brute_components(prints)
-    df = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    df = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
     for bucket in (4096, 8):
         got = dict(rows(simhash.link_fingerprints(df, Scratch(spark), bucket=bucket)))
         sides = {}
         for p, c in zip(prints, comp):
-            sides.setdefault(c, set()).add(got.get(simhash._signed(p), simhash._signed(p)))
+            sides.setdefault(c, set()).add(got.get(simhash.signed(p), simhash.signed(p)))
         assert all(len(s) == 1 for s in sides.values()) and len({min(s) for s in sides.values()}) == len(sides)
 
 

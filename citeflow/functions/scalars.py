@@ -43,7 +43,7 @@ def given(x: Column | str) -> Column:
 
 def comparable(x: Column | str) -> Column:
     """Lower case, punctuation as spaces, spaces collapsed."""
-    return text(F.regexp_replace(F.lower(text(x)), r"(?U)[^\w\s]", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_col(x).cast("string"), F.lit(""))), r"(?U)\W+", " "))
 
 
 def stripped(x: Column | str) -> Column:
@@ -57,11 +57,16 @@ def _col(x: Column | str) -> Column:
 
 def once(value: Column) -> Column:
     """The same value, bound so that later projections read it instead of repeating its expression."""
-    return F.transform(F.array(value), lambda x: x)[0]
+    return bound(value, lambda x: x)
+
+
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
 def words(x: Column) -> Column:
-    return F.filter(F.split(text(x), " "), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(x, F.lit("")), r"(?U)\s+"), lambda w: w != "")
 
 
 # ---- authors
@@ -96,15 +101,19 @@ def _bare(w: Column) -> Column:
 
 def _suffix(w: Column) -> Column:
     plain = F.regexp_replace(w, r"\.+$", "")
-    return F.concat(F.upper(F.left(plain, F.lit(1))), F.lower(F.substring(plain, 2, 1000)), F.lit("."))
+    return F.concat(F.upper(F.left(plain, F.lit(1))), F.lower(F.substr(plain, F.lit(2))), F.lit("."))
 
 
 def _letter(w: Column) -> Column:
     return F.concat(F.upper(F.left(w, F.lit(1))), F.lit("."))
 
 
-def initials(names: Column) -> Column:
-    """Given names as initials, one string."""
+def _but_last(a: Column) -> Column:
+    return F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+
+
+def _initials(given_names: Column) -> Column:
+    """Given names (an array) as initials, one string."""
 
     def one(w: Column) -> Column:
         parts = F.transform(F.filter(F.split(w, "-"), lambda h: h != ""), _letter)
@@ -115,56 +124,74 @@ def initials(names: Column) -> Column:
             .otherwise(_letter(w))
         )
 
-    return F.array_join(F.transform(words(names), one), " ")
+    return F.array_join(F.transform(given_names, one), " ")
+
+
+def initials(names: Column) -> Column:
+    """Given names as initials, one string."""
+    return _initials(words(names))
+
+
+def _formatted(names: Column) -> Column:
+    """Cleaned names (an array), each formatted. Each step's values are bound before the next."""
+
+    def parts(n: Column) -> Column:
+        comma = F.contains(n, F.lit(","))
+        last = F.when(comma, words(F.substring_index(n, ",", 1))).otherwise(F.slice(words(n), -1, 1))
+        first = F.when(comma, words(F.substr(n, F.instr(n, ",") + 1))).otherwise(_but_last(words(n)))
+        return F.struct(n.alias("n"), ((n == "") | (~comma & ~F.contains(n, F.lit(" ")))).alias("alone"), last.alias("last"), _initials(first).alias("first"))
+
+    def line(p: Column) -> Column:
+        tail = F.try_element_at(p["last"], F.lit(-1))
+        has = F.coalesce(_bare(tail).isin(SUFFIXES), F.lit(False))
+        whole = F.when(has, F.concat(p["first"], F.lit(" "), F.array_join(_but_last(p["last"]), " "), F.lit(", "), _suffix(tail))).otherwise(F.concat(p["first"], F.lit(" "), F.array_join(p["last"], " ")))
+        return F.when(p["alone"], p["n"]).otherwise(F.regexp_replace(whole, r"^[, ]+|[, ]+$", ""))
+
+    return F.transform(F.transform(names, parts), line)
 
 
 def format_author(name: Column) -> Column:
     """'Last, Given' or 'Given Last' as 'G. Last', a suffix after a comma; a single word stays."""
-    n = text(name)
-    toks = words(n)
-    comma = F.contains(n, F.lit(","))
-    last = F.when(comma, F.trim(F.substring_index(n, ",", 1))).otherwise(F.try_element_at(toks, F.lit(-1)))
-    first = F.when(comma, F.trim(F.substr(n, F.instr(n, ",") + 1))).otherwise(F.array_join(F.slice(toks, F.lit(1), F.greatest(F.size(toks) - 1, F.lit(0))), " "))
-    tail = F.try_element_at(words(last), F.lit(-1))
-    has = F.coalesce(_bare(tail).isin(SUFFIXES), F.lit(False))
-    body = F.array_join(F.slice(words(last), F.lit(1), F.greatest(F.size(words(last)) - 1, F.lit(0))), " ")
-    whole = F.when(has, F.concat(initials(first), F.lit(" "), body, F.lit(", "), _suffix(tail))).otherwise(F.concat(initials(first), F.lit(" "), last))
-    return F.when(F.size(toks) == 0, "").when((F.size(toks) == 1) & ~comma, n).otherwise(F.regexp_replace(whole, r"^[, ]+|[, ]+$", ""))
+    return _formatted(F.array(text(name)))[0]
 
 
 def format_authors(a: Column) -> Column:
     """One name, up to six with a final 'and', from seven on the first with et al."""
-    items = F.transform(clean_authors(a), format_author)
-    n = F.size(items)
-    return (
-        F.when(n == 0, "")
-        .when(n >= 7, F.concat(items[0], F.lit(" *et al.*")))
-        .when(n == 1, items[0])
-        .otherwise(F.concat(F.array_join(F.slice(items, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.try_element_at(items, F.lit(-1))))
-    )
 
+    def line(items: Column) -> Column:
+        n = F.size(items)
+        return (
+            F.when(n == 0, "")
+            .when(n >= 7, F.concat(items[0], F.lit(" *et al.*")))
+            .when(n == 1, items[0])
+            .otherwise(F.concat(F.array_join(_but_last(items), ", "), F.lit(", and "), F.try_element_at(items, F.lit(-1))))
+        )
 
-def author_key(name: Column, spelled: bool = True) -> Column:
-    """Initials and surname in lower case, '' for 'et al.'; with ``spelled=False`` only names already given as
-    initials count."""
-    toks = words(name)
+    return bound(_formatted(clean_authors(a)), line)
+
+
+def _key_of(toks: Column, spelled: bool) -> Column:
+    """The key of a name's words."""
     last = F.try_element_at(toks, F.lit(-1))
-    first = F.slice(toks, F.lit(1), F.greatest(F.size(toks) - 1, F.lit(0)))
-    letters = F.filter(first, lambda w: w.rlike(r"^\p{L}"))
-    if not spelled:
-        letters = F.filter(letters, lambda w: (F.length(w) == 1) | F.endswith(w, F.lit(".")))
+    letters = F.filter(_but_last(toks), lambda w: w.rlike(r"^\p{L}") if spelled else w.rlike(r"^\p{L}") & ((F.length(w) == 1) | F.endswith(w, F.lit("."))))
     short = F.transform(letters, _letter) if spelled else letters
     surname = F.when(last.rlike(r"^\p{L}"), last).otherwise("")
-    key = F.lower(F.trim(F.array_join(F.concat(short, F.array(surname)), " ")))
-    return F.when(F.size(toks) == 0, "").when(F.lower(last).isin("al.", "et", "et."), "").otherwise(key)
+    return F.when(F.size(toks) == 0, "").when(F.lower(last).isin("al.", "et", "et."), "").otherwise(F.lower(F.trim(F.array_join(F.concat(short, F.array(surname)), " "))))
+
+
+def author_key(name: Column, spelled: bool = True) -> Column:
+    """Initials and surname in lower case, '' for 'et al.'; with ``spelled=False`` only names already given as
+    initials count."""
+    return bound(words(name), lambda toks: _key_of(toks, spelled))
 
 
 def author_keys(a: Column, spelled: bool = True) -> Column:
-    return F.filter(F.transform(clean_authors(a), lambda x: author_key(x, spelled)), lambda k: k != "")
+    toks = F.transform(F.coalesce(a, F.array().cast("array<string>")), words)
+    return F.filter(F.transform(toks, lambda t: _key_of(t, spelled)), lambda k: k != "")
 
 
 def surnames(a: Column) -> Column:
-    return F.array_distinct(F.transform(clean_authors(a), lambda x: F.lower(F.try_element_at(words(x), F.lit(-1)))))
+    return F.array_distinct(F.array_compact(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.lower(F.try_element_at(words(x), F.lit(-1))))))
 
 
 # ---- identifiers, pages, dates
@@ -266,7 +293,7 @@ def is_plausible_year(y: Column | str, as_of_year: int) -> Column:
     return F.coalesce(year_prefix(y).between(1800, as_of_year + 1), F.lit(False))
 
 
-# ---- free text
+# ---- free text. The patterns of ``parse_reference``.
 
 
 def parse_reference(r: Column | str) -> Column:

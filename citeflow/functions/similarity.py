@@ -6,11 +6,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import comparable, words
+from .scalars import bound
+
+
+def compared_words(x: Column) -> Column:
+    """The words that texts are compared by: those of ``comparable``."""
+    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
 
 
 def word_set(x: Column) -> Column:
-    return F.array_distinct(words(comparable(x)))
+    return F.array_distinct(compared_words(x))
 
 
 def overlap(x: Column, y: Column) -> Column:
@@ -21,12 +26,11 @@ def overlap(x: Column, y: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """``overlap`` of two texts' words, each split once."""
-    pair = F.struct(word_set(a).alias("x"), word_set(b).alias("y"))
-    return F.transform(F.array(pair), lambda p: overlap(p["x"], p["y"]))[0]
+    return bound(F.struct(word_set(a).alias("x"), word_set(b).alias("y")), lambda p: overlap(p["x"], p["y"]))
 
 
 def sorted_words(x: Column) -> Column:
-    return F.array_join(F.array_sort(words(comparable(x))), " ")
+    return F.array_join(F.array_sort(compared_words(x)), " ")
 
 
 def common_subsequence(a: str, b: str) -> int:

@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
-    YEAR_PRIORITY, author_keys, clean_authors, comparable, doi_key, first_number, given, is_page_range, is_plausible_year,
-    is_single_page, is_trusted, month_number, once, pages_richness, text, vote_weight, words, year_of,
+    YEAR_PRIORITY, author_keys, clean_authors, doi_key, first_number, given, is_page_range, is_plausible_year,
+    is_single_page, is_trusted, month_number, once, pages_richness, text, vote_weight, year_of,
 )
-from ..functions.similarity import similarity
+from ..functions.similarity import similarity, word_set
 from ..schemas import FIELDS, MATCHED, RECORD, VOTED
-from .match import compared, prepared
+from .match import NEAREST, compared, prepared
 
-SAME_TITLE = 0.92
+#: Title similarities: of one cluster, and of a matching field.
+SAME_TITLE, SAME_TITLE_AS_BEST = 0.92, 0.93
 
 
 def with_fields(df: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def cluster_titles(cands: DataFrame, mode: str = "jaccard") -> DataFrame:
     whose first title is similar enough. A fold over a reference's candidates, which are few."""
     if mode != "jaccard":
         return _cluster_by_pairs(cands, mode)
-    own = cands.groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct("cand_ord", F.array_distinct(words(comparable("title"))).alias("w")))).alias("own"))
+    own = cands.groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct("cand_ord", word_set(F.col("title")).alias("w")))).alias("own"))
     start = F.struct(F.array().cast("array<array<string>>").alias("leads"), F.array().cast("array<struct<cand_ord:int,cluster:int>>").alias("out"))
 
     def near(a: Column, b: Column) -> Column:
@@ -174,58 +175,49 @@ def consensus(cands: DataFrame, as_of_year: int = 2025, mode: str = "jaccard") -
     return out.select("ref_id", *FIELDS, "provenance")
 
 
-def matching_fields(ex: Column, best: Column, mode: str = "jaccard") -> Column:
-    """Fields in which both records have a value and agree."""
+def with_matching(df: DataFrame, mode: str = "jaccard") -> DataFrame:
+    """Adds ``matching``: the fields in which ``ex`` and ``best`` both have a value and agree; none without a best."""
+    ex, best = F.col("ex"), F.col("best")
+    rows = df.select("*", author_keys(ex["authors"]).alias("_p"), author_keys(best["authors"]).alias("_q"), similarity(ex["title"], best["title"], mode, SAME_TITLE_AS_BEST).alias("_near"))
 
     def same(f: str) -> Column:
         if f == "authors":
-            a, b = author_keys(ex[f]), author_keys(best[f])
-            return (F.size(a) > 0) & (a == b)
+            return (F.size("_p") > 0) & (F.col("_p") == F.col("_q"))
         if f == "title":
-            return similarity(ex[f], best[f], mode) >= 0.93
+            return F.col("_near") >= SAME_TITLE_AS_BEST
         if f == "doi":
             return doi_key(ex[f]) == doi_key(best[f])
         return ex[f] == best[f]
 
-    return F.array_compact(F.array(*[F.when(same(f), F.lit(f)) for f in MATCHED]))
+    return rows.select(*df.columns, F.array_compact(F.array(*[F.when(same(f), F.lit(f)) for f in MATCHED])).alias("matching"))
 
 
 def select_best(refs: DataFrame, cands: DataFrame, as_of_year: int = 2025, mode: str = "jaccard") -> DataFrame:
     """(ref_id, ex, best, matching, provenance, trusted): the consensus where its DOI is the reference's own; else the
     best-scored candidate, or the one with the nearest title (0.95), if trustworthy; else no best record."""
     refs, cands = with_fields(refs), with_fields(cands)
-    ex = refs.select("ref_id", record(refs).alias("ex")).withColumn("a", prepared(F.col("ex")))
-    rows = cands.select("ref_id", "cand_ord", once(F.struct(*FIELDS, "source")).alias("c")).withColumn("b", prepared(F.col("c"), F.col("c")["source"]))
-    rows = rows.join(ex.select("ref_id", "a"), "ref_id").select("ref_id", "cand_ord", "c", compared(F.col("a"), F.col("b"), mode).alias("m"))
-    rows = rows.select("ref_id", "cand_ord", "c", "m.score", "m.sure", "m.near")
-    ex = ex.drop("a")
-    pick = lambda by: F.max_by(F.struct("c", "sure", "near"), F.struct(F.col(by), -F.col("cand_ord")))
+    ex = refs.select("ref_id", record(refs).alias("ex"))
+    rows = prepared(cands.select("ref_id", "cand_ord", "source", record(cands).alias("c")), "c", "b")
+    rows = compared(rows.join(prepared(ex, "ex", "a").drop("ex"), "ref_id"), mode)
+    pick = lambda by: F.max_by(F.struct("c", "source", "sure", "near"), F.struct(F.col(by), -F.col("cand_ord")))
     picks = rows.groupBy("ref_id").agg(pick("score").alias("scored"), pick("near").alias("titled"))
     fused = consensus(cands, as_of_year, mode)
     fused = fused.select("ref_id", record(fused).alias("fused"), F.col("provenance").alias("fused_by"))
-    own = F.col("one")
-    single = F.struct(
-        *[
-            {
-                "authors": F.when(F.size(author_keys(own["authors"])) > 0, clean_authors(own["authors"])),
-                "doi": doi_key(own["doi"]),
-                "year": F.when(is_plausible_year(year_of(own["year"]), as_of_year), year_of(own["year"])),
-            }.get(f, given(own[f])).alias(f)
-            for f in FIELDS
-        ]
-    ).cast(RECORD)
     out = ex.join(fused, "ref_id", "left").join(picks, "ref_id", "left")
     by_doi = F.coalesce(doi_key(F.col("fused")["doi"]) == doi_key(F.col("ex")["doi"]), F.lit(False))
-    one = F.when(F.col("scored")["sure"], F.col("scored")["c"]).when((F.col("titled")["near"] >= 0.95) & F.col("titled")["sure"], F.col("titled")["c"])
-    out = out.withColumn("by_doi", by_doi).withColumn("one", F.when(~F.col("by_doi"), one))
-    out = out.withColumn("single", once(F.when(own.isNotNull(), single)))
-    best = F.when(F.col("by_doi"), F.col("fused")).otherwise(F.col("single"))
-    has = lambda f: F.col("single")[f].isNotNull()
-    entries = F.array_compact(F.array(*[F.when(has(f), F.struct(F.lit(f).alias("k"), F.lit("doi-agreement").alias("v") if f == "doi" else F.col("one")["source"].alias("v"))) for f in FIELDS]))
-    by = F.when(F.col("by_doi"), F.col("fused_by")).when(own.isNotNull(), F.map_from_entries(entries))
-    out = out.select("ref_id", "ex", once(best).alias("best"), once(by).alias("provenance"))
-    match = F.when(F.col("best").isNull(), F.array().cast("array<string>")).otherwise(matching_fields(F.col("ex"), F.col("best"), mode))
-    return out.select("ref_id", "ex", "best", match.alias("matching"), "provenance", F.col("best").isNotNull().alias("trusted"))
+    one = F.when(F.col("scored")["sure"], F.col("scored")).when((F.col("titled")["near"] >= NEAREST) & F.col("titled")["sure"], F.col("titled"))
+    out = out.select("ref_id", "ex", "fused", "fused_by", by_doi.alias("by_doi"), one.alias("one"))
+    own = F.col("one")["c"]
+    year = year_of(own["year"])
+    special = {"authors": F.when(F.size(author_keys(own["authors"])) > 0, own["authors"]), "doi": doi_key(own["doi"]), "year": F.when(is_plausible_year(year, as_of_year), year)}
+    single = F.struct(*[special.get(f, own[f]).alias(f) for f in FIELDS]).cast(RECORD)
+    best = F.when(F.col("by_doi"), F.col("fused")).when(own.isNotNull(), single)
+    out = out.select("ref_id", "ex", once(best).alias("best"), "by_doi", "fused_by", F.col("one")["source"].alias("source"))
+    by = lambda f: F.lit("doi-agreement") if f == "doi" else F.col("source")
+    entries = F.array_compact(F.array(*[F.when(F.col("best")[f].isNotNull(), F.struct(F.lit(f).alias("k"), by(f).alias("v"))) for f in FIELDS]))
+    told = F.when(F.col("by_doi"), F.col("fused_by")).when(F.col("best").isNotNull(), F.map_from_entries(entries))
+    out = with_matching(out.select("ref_id", "ex", "best", told.alias("provenance")), mode)
+    return out.select("ref_id", "ex", "best", "matching", "provenance", F.col("best").isNotNull().alias("trusted"))
 
 
 # Type names that sources use.

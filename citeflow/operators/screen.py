@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
 from .lookup import by_title
 from .segment import extract_references
 
+# Relations of a retracted work.
 RELATIONS = ["is-retracted-by", "has-retraction"]
 
 
@@ -17,11 +19,11 @@ def retraction_mark(relation: Column, update_to: Column) -> Column:
     return F.when(relation.isin(RELATIONS), "relation").when(F.size(dois) > 0, "update-to")
 
 
-def check_retractions(titles: DataFrame, works: DataFrame, k: int = 5, at_least: float = 0.5, exhaustive: bool = False) -> DataFrame:
+def check_retractions(titles: DataFrame, works: DataFrame, k: int = 5, at_least: float = 0.5) -> DataFrame:
     """(ref_id, is_retracted, reason, title, update_dois): the first of a title's ``k`` nearest works that bears a
     retraction mark. ``works`` has cand_key, title, doi_key, relation and update_to."""
     catalog = works.withColumn("source", F.lit("crossref"))
-    hits = by_title(titles, catalog, at_least, k, exhaustive=exhaustive).where("variant = 0")
+    hits = by_title(titles, catalog, at_least, k).where("variant = 0")
     marked = hits.withColumn("reason", retraction_mark(F.col("relation"), F.col("update_to"))).where("reason is not null")
     dois = F.array_join(F.transform("update_to", lambda u: F.coalesce(u["DOI"], F.lit("unknown"))), ", ")
     first = marked.groupBy("ref_id").agg(F.min_by(F.struct("reason", "title", F.when(F.col("reason") == "update-to", dois).alias("update_dois")), "rank").alias("m"))
@@ -48,3 +50,9 @@ def screen_documents(docs: DataFrame, works: DataFrame, **how) -> DataFrame:
     rows = refs.join(checked.select("ref_id", "is_retracted"), "ref_id")
     flagged = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_retracted"), F.struct("pos", "reference")))), lambda s: s["reference"]), "\n")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_references"), F.count_if("is_retracted").alias("n_retracted"), flagged.alias("flagged"))
+
+
+def screen_folder(spark: SparkSession, path: str, works: DataFrame, **how) -> DataFrame:
+    """``screen_documents`` over the .docx files below a folder; files that can't be read give no references."""
+    texts = files.read_docx(files.read_binary(spark, path, "*.docx"), keep_blank=True).where("error is null")
+    return screen_documents(texts.select(F.col("path").alias("doc_id"), "text"), works, **how)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import stripped
 
+# Patterns that segmentation must agree on.
 MARKER = r"^\s*(?:\[\d+\]|\d+\.|[-•])"
 KEY = r"(?i)\b10\.\d{4,9}/\S+\b|https?://\S+|\b(?:19|20)\d{2}\b"
 AUTHOR_LIKE = r"^([A-Z][a-z]+|[A-Z]\.)[^\n]{0,60}\b([A-Z][a-z]+|[A-Z]\.)"
 HEADING = "REFERENCES|References|Bibliography"
+VENUE_LIKE = r"Proc\.|Proceedings|IEEE"
 
 
 def newlines(t: Column) -> Column:
@@ -46,7 +48,7 @@ def split_marked(docs: DataFrame) -> DataFrame:
 
 
 def fold_marked(ls: Column) -> Column:
-    """The same as an array expression, for short documents."""
+    """The same as an array expression, for short documents (the fold copies its last entry at each line)."""
     start = F.array().cast("array<string>")
 
     def add(acc: Column, line: Column) -> Column:
@@ -65,7 +67,7 @@ def paragraphs(t: Column) -> Column:
 
 def looks_new(line: Column) -> Column:
     """Whether a line may start a reference."""
-    return line.rlike(AUTHOR_LIKE) | ((F.length(line) < 140) & F.endswith(line, F.lit("."))) | line.rlike(r"Proc\.|Proceedings|IEEE")
+    return line.rlike(AUTHOR_LIKE) | ((F.length(line) < 140) & F.endswith(line, F.lit("."))) | line.rlike(VENUE_LIKE)
 
 
 def fold_heuristic(t: Column) -> Column:

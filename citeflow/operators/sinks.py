@@ -15,9 +15,9 @@ def numbered(results: DataFrame) -> DataFrame:
 
 
 def write_numbered(results: DataFrame, path: str) -> None:
-    """One folder of text lines for each document, in order."""
-    rows = numbered(results).repartition("doc_id").sortWithinPartitions("doc_id", "n")
-    rows.select("doc_id", "line").write.partitionBy("doc_id").text(path)
+    """Text lines 'doc_id<TAB>[n] reference', in order within a document; each file holds a range of documents."""
+    rows = numbered(results).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n")
+    rows.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "line")).write.text(path)
 
 
 def result_rows(results: DataFrame) -> DataFrame:

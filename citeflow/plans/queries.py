@@ -74,19 +74,18 @@ def consensus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared references against each of their candidates."""
     refs, cands = fuse.with_fields(references(spark, sf_dir)), fuse.with_fields(candidates(spark, sf_dir))
-    left = refs.select("ref_id", match.prepared(fuse.record(refs)).alias("a"))
-    right = cands.select("ref_id", "cand_ord", match.prepared(fuse.record(cands), F.col("source")).alias("b"))
+    left = match.prepared(refs.select("ref_id", fuse.record(refs).alias("r")), "r", "a").drop("r")
+    right = match.prepared(cands.select("ref_id", "cand_ord", "source", fuse.record(cands).alias("r")), "r", "b").drop("r")
     return right.join(left, "ref_id")
 
 
 def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir).select("ref_id", "cand_ord", match.compared(F.col("a"), F.col("b")).alias("m"))
-    return rows.select("ref_id", "cand_ord", F.round("m.near", 6).alias("title_sim"), F.round("m.place", 6).alias("venue_sim"), "m.score", F.col("m.sure").alias("trusted"))
+    rows = match.compared(_pairs(spark, sf_dir))
+    return rows.select("ref_id", "cand_ord", F.round("near", 6).alias("title_sim"), F.round("place", 6).alias("venue_sim"), "score", F.col("sure").alias("trusted"))
 
 
 def title_token_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = match.title_similarity(F.col("a"), F.col("b"), "token_sort")
-    return _pairs(spark, sf_dir).select("ref_id", "cand_ord", F.round(near, 6).alias("similarity"))
+    return _pairs(spark, sf_dir).select("ref_id", "cand_ord", F.round(match.near("title", "token_sort"), 6).alias("similarity"))
 
 
 def selected_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +100,8 @@ def reconciled_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References against their first candidate as the best record: a plain input for checks and rewriting."""
-    refs, cands = fuse.with_fields(references(spark, sf_dir)), fuse.with_fields(candidates(spark, sf_dir)).where("cand_ord = 1")
-    rows = refs.select("ref_id", fuse.record(refs).alias("ex")).join(cands.select("ref_id", fuse.record(cands).alias("best"), "source"), "ref_id")
-    return rows.withColumn("matching", fuse.matching_fields(F.col("ex"), F.col("best"))).withColumn("provenance", F.create_map(F.lit("title"), F.col("source"), F.lit("doi"), F.col("source")))
+    """References with their best records, as ``select_best`` gives them."""
+    return fuse.select_best(references(spark, sf_dir), candidates(spark, sf_dir), AS_OF)
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +166,7 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repair_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bounded loop; the lookup returns each order's candidates again in every round."""
     cands = candidates(spark, sf_dir)
-    done = repair.repair(references(spark, sf_dir), lambda refs: cands.join(refs.select("ref_id"), "ref_id", "left_semi"), AS_OF)
+    done, _ = repair.repair(references(spark, sf_dir), lambda refs: cands.join(refs.select("ref_id"), "ref_id", "left_semi"), AS_OF)
     return done.select("ref_id", "attempts", "ver_score", F.col("best").isNotNull().alias("trusted"), F.size("changes").alias("n_changes"), F.col("ex")["title"].alias("title"), F.col("ex")["pages"].alias("pages"), F.col("ex")["doi"].alias("doi"))
 
 
@@ -235,7 +232,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scalar_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     t = F.col("text")
-    return rows.select("conv_id", "turn", S.text(t).alias("clean"), S.comparable(t).alias("comparable"), S.stripped(F.concat(F.lit(" \t"), t, F.lit("\n"))).alias("safe"), segment.line_count(t).alias("lines"), _text(S.author_list_raw(F.substring(t, 1, 80))).alias("parts"))
+    return rows.select("conv_id", "turn", S.text(t).alias("clean"), S.comparable(t).alias("comparable"), S.stripped(F.concat(F.lit(" \t"), t, F.lit("\n"))).alias("safe"), segment.line_count(t).alias("lines"), _text(S.author_list_raw(t)).alias("parts"))
 
 
 def scalar_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,11 +277,11 @@ def parsed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.split_marked(bundles(spark, sf_dir).where(F.col("doc_id") % 3 == 0))
+    return segment.split_marked(bundles(spark, sf_dir))
 
 
 def paragraph_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bundles(spark, sf_dir).where(F.col("doc_id") % 3 == 1).select("doc_id", segment.has_marker(segment.lines(F.col("text"))).alias("marked"), F.posexplode(segment.paragraphs(F.col("text"))).alias("pos", "reference"))
+    rows = bundles(spark, sf_dir).select("doc_id", segment.has_marker(segment.lines(F.col("text"))).alias("marked"), F.posexplode(segment.paragraphs(F.col("text"))).alias("pos", "reference"))
     return rows.select("doc_id", "pos", "reference", "marked", segment.looks_new(F.col("reference")).alias("looks_new"))
 
 
@@ -311,14 +308,16 @@ def arxiv_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.by_arxiv_id(refs, _catalog(spark, sf_dir)).select("ref_id", "source", "cand_key", "title")
 
 
+def _first_line(text: str = "text") -> "F.Column":
+    return F.trim(F.split(text, "\n")[0])
+
+
 def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts by title against documents' first lines: every pair that shares a word, ranked."""
+    """Every document's first line against all documents' first lines as titles, each variant's best five."""
     docs = table(spark, sf_dir, "documents")
-    first = F.trim(F.split("text", "\n")[0])
-    works = docs.select(F.col("doc_id").cast("string").alias("cand_key"), F.lit("crossref").alias("source"), F.left(first, F.lit(120)).alias("title"), F.lit(None).cast("string").alias("doi_key"))
-    refs = docs.where(F.col("lang") != "en").select(F.col("doc_id").alias("ref_id"), F.left(first, F.lit(120)).alias("title"))
-    got = lookup.by_title(refs, works, at_least=0.5, exhaustive=True).where("variant = 0")
-    return got.select("ref_id", "source", "cand_key", "sim", "rank")
+    works = docs.select(F.col("doc_id").cast("string").alias("cand_key"), F.lit("crossref").alias("source"), _first_line().alias("title"), F.lit(None).cast("string").alias("doi_key"))
+    got = lookup.by_title(docs.select(F.col("doc_id").alias("ref_id"), _first_line().alias("title")), works)
+    return got.select("ref_id", "variant", "source", "cand_key", "sim", "rank")
 
 
 def gathered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,29 +385,36 @@ def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as works; some bear a retraction mark of either kind."""
     k = F.col("item_id")
     update = F.array(F.struct(F.concat(F.lit("10.9/"), k.cast("string")).alias("DOI"), F.when(k % 3 == 0, "retraction").otherwise("correction").alias("type"), F.lit("publisher").alias("source"), F.lit("2024-01-01").alias("updated")))
-    return table(spark, sf_dir, "benchmark").select(k.cast("string").alias("cand_key"), F.left(F.split("text", "\n")[0], F.lit(100)).alias("title"), F.concat(F.lit("10.8/"), k.cast("string")).alias("doi_key"), F.when(k % 4 == 0, F.lit("is-retracted-by")).alias("relation"), update.alias("update_to"))
+    return table(spark, sf_dir, "benchmark").select(k.cast("string").alias("cand_key"), F.split("text", "\n")[0].alias("title"), F.concat(F.lit("10.8/"), k.cast("string")).alias("doi_key"), F.when(k % 4 == 0, F.lit("is-retracted-by")).alias("relation"), update.alias("update_to"))
 
 
 def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("item_id")
-    return table(spark, sf_dir, "benchmark").select(k.alias("ref_id"), F.when(k % 2 == 0, F.upper(F.left(F.split("text", "\n")[0], F.lit(100)))).otherwise(F.left("text", F.lit(30))).alias("title"))
+    """Their titles as references: every other one in capitals, the others with a word put before."""
+    k, first = F.col("item_id"), F.split("text", "\n")[0]
+    return table(spark, sf_dir, "benchmark").select(k.alias("ref_id"), F.when(k % 2 == 0, F.upper(first)).otherwise(F.concat(F.lit("Revisited "), first)).alias("title"))
 
 
 def retraction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.check_retractions(_screened(spark, sf_dir), _works(spark, sf_dir), exhaustive=True)
+    return screen.check_retractions(_screened(spark, sf_dir), _works(spark, sf_dir))
+
+
+def retraction_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that a retracted work is near, and the others: the semi and the anti join."""
+    bad, good = screen.split_by_retraction(_screened(spark, sf_dir), _works(spark, sf_dir))
+    return bad.select("ref_id", F.lit(True).alias("retracted")).unionByName(good.select("ref_id", F.lit(False).alias("retracted")))
 
 
 def retracted_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.retracted_only(_screened(spark, sf_dir), _works(spark, sf_dir), exhaustive=True)
+    return screen.retracted_only(_screened(spark, sf_dir), _works(spark, sf_dir))
 
 
 def screened_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that list benchmark passages, against the works."""
     k = F.col("item_id")
-    line = F.concat(F.lit("["), k.cast("string"), F.lit('] A. B, "'), F.regexp_replace(F.left(F.split("text", "\n")[0], F.lit(100)), '"', ""), F.lit('"'))
-    rows = table(spark, sf_dir, "benchmark").select((k % 7).alias("doc_id"), k.alias("n"), line.alias("x"))
+    line = F.concat(F.lit("["), k.cast("string"), F.lit('] A. B, "'), F.regexp_replace(F.split("text", "\n")[0], '"', ""), F.lit('"'))
+    rows = table(spark, sf_dir, "benchmark").select(F.floor(k / 20).alias("doc_id"), k.alias("n"), line.alias("x"))
     docs = rows.groupBy("doc_id").agg(F.concat(F.lit("Body\nReferences\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s["x"]), "\n")).alias("text"))
-    return screen.screen_documents(docs, _works(spark, sf_dir), exhaustive=True)
+    return screen.screen_documents(docs, _works(spark, sf_dir))
 
 
 def retraction_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,7 +426,7 @@ def retraction_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reference_strings(spark, sf_dir)
     failed = F.when(F.col("ref_id") % 19 == 0, F.lit("lookup failed"))
-    out = rows.withColumn("formatted", F.concat(F.upper(F.left("reference", F.lit(1))), F.substring("reference", 2, 10_000))).withColumn("report", F.repeat(F.concat(F.lit("r"), F.col("ref_id").cast("string")), 80)).withColumn("type", F.lit("other"))
+    out = rows.withColumn("formatted", F.concat(F.upper(F.left("reference", F.lit(1))), F.substr("reference", F.lit(2)))).withColumn("report", F.repeat(F.concat(F.lit("r"), F.col("ref_id").cast("string")), 80)).withColumn("type", F.lit("other"))
     return sinks.with_status(out, failed, F.col("ref_id") % 23 == 0)
 
 
@@ -456,7 +462,7 @@ ALL = [
     formatted_by_type, csl_exports, bibtex_exports, recorded_lines, reports, evidence, scalar_text, scalar_authors, scalar_pages, scalar_dates, scalar_ids,
     source_weights, fingerprints, parsed_references, marked_references, paragraph_references, split_documents, extracted_references, doi_lookup, arxiv_lookup,
     title_lookup, gathered_candidates, recorded_outputs, routed_files, concatenated_texts, normalised_catalogs, feed_entries, retraction_checks, retracted_titles,
-    screened_documents, retraction_notices, numbered_lines, batch_summary, batch_preview, batch_documents, result_rows, fresh_requests,
+    screened_documents, retraction_split, retraction_notices, numbered_lines, batch_summary, batch_preview, batch_documents, result_rows, fresh_requests,
 ]
 
 

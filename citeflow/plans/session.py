@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that ``spark.checkpoint.dir`` names; only a session without one (tests) gets its own."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names. Only a local session (tests) may leave it unset and gets
+    a folder of its own; on a cluster that is an error, as executors don't see each other's folders."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoints-"))

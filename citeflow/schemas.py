@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Field names, in the orders that results must agree on.
 TEXT_FIELDS = [
     "title", "journal_name", "journal_abbrev", "conference_name", "volume", "issue", "pages", "year", "month", "doi",
     "publisher", "location", "edition", "isbn", "url",

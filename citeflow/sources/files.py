@@ -94,27 +94,17 @@ def corpus_dump(files: DataFrame, extensions: list[str], skip: list[str]) -> Dat
     return own.select("path", F.concat(F.element_at(parts, -1), F.lit(":\n"), body, F.lit("\n\n")).alias("entry"))
 
 
+_DECODER = json.JSONDecoder()
+
+
 def first_object(s: str | None) -> str | None:
-    """The first balanced {...} of a string that is valid JSON; strings and escapes are told apart."""
-    if not s:
-        return None
-    depth, start, quoted, escaped = 0, -1, False, False
-    for i in range(max(s.find("{"), 0), len(s)):
-        c = s[i]
-        if quoted:
-            quoted, escaped = (c != '"' or escaped), c == "\\" and not escaped
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            start, depth = (i if depth == 0 else start), depth + 1
-        elif c == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                try:
-                    json.loads(s[start : i + 1])
-                    return s[start : i + 1]
-                except ValueError:
-                    pass
+    """The first object inside a string: the first place of a brace from which JSON can be read."""
+    at = s.find("{") if s else -1
+    while at >= 0:
+        try:
+            return s[at : _DECODER.raw_decode(s, at)[1]]
+        except (ValueError, RecursionError):
+            at = s.find("{", at + 1)
     return None
 
 

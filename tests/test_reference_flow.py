@@ -1,8 +1,5 @@
 """A small catalog end to end, votes and clusters with ties, and the streaming entry points."""
 
-import os
-
-import pytest
 from citeflow.operators import fuse, lookup
 from citeflow.plans import resolve
 from citeflow.streaming import online
@@ -21,7 +18,6 @@ def catalog(spark):
     return fuse.with_fields(df).withColumn("doi_key", F.lower("doi"))
 
 
-@pytest.mark.skipif(not os.environ.get("CITEFLOW_SLOW"), reason="plans several rounds of wide expressions: minutes")
 def test_resolve(spark):
     refs = [
         ("d", 1, "r1", 'A. Lovelace and B. Roe, "Deep graphs for tables," *J. Tables*, vol. 3, pp. 10, 2020. doi:10.1234/dg'),

@@ -23,17 +23,19 @@ SAME_TITLE, SAME_TITLE_AS_BEST = 0.92, 0.93
 
 def with_fields(df: DataFrame) -> DataFrame:
     """The table with every field of a record, absent ones NULL."""
-    for f in FIELDS:
-        if f not in df.columns:
-            df = df.withColumn(f, F.lit(None).cast("array<string>" if f == "authors" else "string"))
-    return df
+    return df.selectExpr("*", *[f"cast(NULL AS {'array<string>' if f == 'authors' else 'string'}) AS {f}" for f in FIELDS if f not in df.columns])
+
+
+#: ``given`` and ``clean_authors`` of a column as SQL: one call for a whole record instead of some for each field.
+_TRIMMED = "nullif(trim(regexp_replace(cast({} AS string), r'(?U)\\s+', ' ')), '')"
+_PEOPLE = f"filter(transform(authors, a -> {_TRIMMED.format('a')}), a -> a IS NOT NULL)"
 
 
 def record(df: DataFrame) -> Column:
     """The fields as one struct: texts trimmed, blank ones and empty author lists NULL. Later stages rely on this."""
-    people = clean_authors(F.col("authors"))
-    values = [F.when(F.size(people) > 0, people) if f == "authors" else given(f) for f in FIELDS]
-    return once(F.struct(*[v.alias(f) for v, f in zip(values, FIELDS)]).cast(RECORD))
+    values = [f"if(size({_PEOPLE}) > 0, {_PEOPLE}, NULL)" if f == "authors" else _TRIMMED.format(f) for f in FIELDS]
+    struct = ", ".join(f"'{f}', {v}" for f, v in zip(FIELDS, values))
+    return F.expr(f"transform(array(cast(named_struct({struct}) AS {RECORD})), r -> r)[0]")
 
 
 def cluster_titles(cands: DataFrame, mode: str = "jaccard") -> DataFrame:
@@ -105,8 +107,8 @@ def top_clusters(clustered: DataFrame) -> DataFrame:
 def vote_fields(cands: DataFrame, keys: list[str], fields: list[str] = VOTED) -> DataFrame:
     """(keys, field, value, weight, source): weighted plurality of each field's non-blank values. Ties of pages go to
     the richer, then the longer, then all ties to the value seen first. ``source`` is the heaviest that gave it."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), given(f).alias("value")) for f in fields])
-    own = cands.select(*keys, "cand_ord", "source", vote_weight(F.col("source")).alias("w"), F.explode(pairs).alias("p"))
+    pairs = ", ".join(f"named_struct('field', '{f}', 'value', {_TRIMMED.format(f)})" for f in fields)
+    own = cands.select(*keys, "cand_ord", "source", vote_weight(F.col("source")).alias("w"), F.expr(f"explode(array({pairs}))").alias("p"))
     own = own.select(*keys, "cand_ord", "source", "w", "p.field", "p.value").where("value is not null")
     sums = own.groupBy(*keys, "field", "value").agg(
         F.sum("w").alias("weight"), F.min("cand_ord").alias("first"), F.max_by("source", F.struct(F.col("w"), -F.col("cand_ord"))).alias("source")
@@ -116,6 +118,11 @@ def vote_fields(cands: DataFrame, keys: list[str], fields: list[str] = VOTED) ->
     return _top(sums, [*keys, "field"], F.desc("weight"), rich.desc(), size.desc(), F.asc("first")).select(*keys, "field", "value", "weight", "source")
 
 
+def pivoted(fields: list[str]) -> list[Column]:
+    """Aggregates that turn votes (field, value) back into columns."""
+    return [F.expr(f"max(CASE WHEN field = '{f}' THEN value END) AS {f}") for f in fields]
+
+
 def vote_authors(cands: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, authors, weight, source): plurality of author lists by initials and surnames; of the winner's spellings
     the longest list, the first on equal length."""
@@ -151,9 +158,7 @@ def consensus(cands: DataFrame, as_of_year: int = 2025, mode: str = "jaccard") -
     own = clustered.join(tops.select("ref_id", "cluster"), ["ref_id", "cluster"], "left_semi").drop("cluster")
     keys = ["ref_id"]
     votes = vote_fields(own, keys)
-    pivot = votes.groupBy("ref_id").agg(
-        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in VOTED], F.map_from_entries(F.collect_list(F.struct("field", "source"))).alias("by")
-    )
+    pivot = votes.groupBy("ref_id").agg(*pivoted(VOTED), F.expr("map_from_entries(collect_list(struct(field, source)))").alias("by"))
     people = vote_authors(own, keys).select("ref_id", "authors", F.col("source").alias("authors_by"))
     years = best_years(own, keys, as_of_year).select("ref_id", "year", F.col("source").alias("year_by"))
     ranges = longest_ranges(own, keys)
@@ -207,15 +212,14 @@ def select_best(refs: DataFrame, cands: DataFrame, as_of_year: int = 2025, mode:
     by_doi = F.coalesce(doi_key(F.col("fused")["doi"]) == doi_key(F.col("ex")["doi"]), F.lit(False))
     one = F.when(F.col("scored")["sure"], F.col("scored")).when((F.col("titled")["near"] >= NEAREST) & F.col("titled")["sure"], F.col("titled"))
     out = out.select("ref_id", "ex", "fused", "fused_by", by_doi.alias("by_doi"), one.alias("one"))
-    own = F.col("one")["c"]
-    year = year_of(own["year"])
-    special = {"authors": F.when(F.size(author_keys(own["authors"])) > 0, own["authors"]), "doi": doi_key(own["doi"]), "year": F.when(is_plausible_year(year, as_of_year), year)}
-    single = F.struct(*[special.get(f, own[f]).alias(f) for f in FIELDS]).cast(RECORD)
-    best = F.when(F.col("by_doi"), F.col("fused")).when(own.isNotNull(), single)
-    out = out.select("ref_id", "ex", once(best).alias("best"), "by_doi", "fused_by", F.col("one")["source"].alias("source"))
-    by = lambda f: F.lit("doi-agreement") if f == "doi" else F.col("source")
-    entries = F.array_compact(F.array(*[F.when(F.col("best")[f].isNotNull(), F.struct(F.lit(f).alias("k"), by(f).alias("v"))) for f in FIELDS]))
-    told = F.when(F.col("by_doi"), F.col("fused_by")).when(F.col("best").isNotNull(), F.map_from_entries(entries))
+    year = year_of("one.c.year")
+    out = out.select("*", doi_key("one.c.doi").alias("one_doi"), F.when(is_plausible_year(year, as_of_year), year).alias("one_year"), (F.size(author_keys(F.col("one.c.authors"))) > 0).alias("named"))
+    special = {"authors": "if(named, one.c.authors, NULL)", "doi": "one_doi", "year": "one_year"}
+    single = ", ".join(f"'{f}', {special.get(f, f'one.c.{f}')}" for f in FIELDS)
+    best = f"CASE WHEN by_doi THEN fused WHEN one.c IS NOT NULL THEN cast(named_struct({single}) AS {RECORD}) END"
+    out = out.selectExpr("ref_id", "ex", f"transform(array({best}), r -> r)[0] AS best", "by_doi", "fused_by", "one.source")
+    entries = ", ".join(f"if(best.{f} IS NOT NULL, struct('{f}' AS k, {"'doi-agreement'" if f == 'doi' else 'source'} AS v), NULL)" for f in FIELDS)
+    told = F.expr(f"CASE WHEN by_doi THEN fused_by WHEN best IS NOT NULL THEN map_from_entries(array_compact(array({entries}))) END")
     out = with_matching(out.select("ref_id", "ex", "best", told.alias("provenance")), mode)
     return out.select("ref_id", "ex", "best", "matching", "provenance", F.col("best").isNotNull().alias("trusted"))
 

@@ -49,32 +49,55 @@ strings AS (
 
 RICH = "CASE WHEN (replace({p}, '–', '-') LIKE '%-%') AND len(regexp_extract_all({p}, '\\d+')) >= 2 AND regexp_extract_all({p}, '\\d+')[1] <> regexp_extract_all({p}, '\\d+')[2] THEN 2 WHEN len(regexp_extract_all({p}, '\\d+')) = 1 THEN 1 ELSE 0 END"
 WORDS = "list_sort(list_distinct(string_split(trim(regexp_replace(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')))"
-_FIELDS = ["title", "journal_name", "journal_abbrev", "volume", "issue", "pages", "month", "doi"]
+FIELDS = ["title", "journal_name", "journal_abbrev", "volume", "issue", "pages", "month", "doi"]
 
-VOTES = f"""
+
+
+def votes(table: str) -> str:
+    return f"""
 long AS (
-  {' UNION ALL '.join(f"SELECT ref_id, cand_ord, source, w, '{f}' AS field, {f} AS value FROM weighted WHERE {f} <> ''" for f in _FIELDS)}
+  {' UNION ALL '.join(f"SELECT ref_id, cand_ord, source, w, '{f}' AS field, {f} AS value FROM {table} WHERE {f} <> ''" for f in FIELDS)}
 ), sums AS (
   SELECT ref_id, field, value, sum(w) AS weight, min(cand_ord) AS first, arg_max(source, w * 1000 - cand_ord) AS source FROM long GROUP BY ALL
 ), votes AS (
   SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY ref_id, field ORDER BY weight DESC, CASE WHEN field = 'pages' THEN {RICH.format(p='value')} ELSE 0 END DESC, CASE WHEN field = 'pages' THEN length(value) ELSE 0 END DESC, first) = 1
 )"""
 
-YEARS = """
+
+def years(table: str) -> str:
+    return f"""
 ycount AS (
   SELECT ref_id, coalesce(list_position(['ieeexplore','crossref','openalex','semanticscholar','pubmed','arxiv'], source), 99) AS prio, year, count(*) AS n, min(cand_ord) AS first
-  FROM cand WHERE CAST(year AS INTEGER) BETWEEN 1800 AND 2026 GROUP BY ALL
+  FROM {table} WHERE CAST(year AS INTEGER) BETWEEN 1800 AND 2026 GROUP BY ALL
 ), years AS (
   SELECT ref_id, year, coalesce(['ieeexplore','crossref','openalex','semanticscholar','pubmed','arxiv'][prio], 'consensus') AS source FROM ycount
   QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY prio, n DESC, first) = 1
 )"""
 
+
+VOTES, YEARS = votes("weighted"), years("cand")
+
 CLUSTERS = f"""
 keyed AS (SELECT *, array_to_string({WORDS.format(t='title')}, ' ') AS k FROM weighted),
 leads AS (SELECT ref_id, k, min(cand_ord) AS lead FROM keyed GROUP BY ALL),
 clusters AS (SELECT ref_id, k, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY lead) AS INTEGER) AS cluster FROM leads),
 clustered AS (SELECT keyed.*, cluster FROM keyed JOIN clusters USING (ref_id, k))"""
 
+MATCHES = f"""
+pairs AS (
+  SELECT c.ref_id, c.cand_ord, {WORDS.format(t='r.title')} AS a, {WORDS.format(t='c.title')} AS b, {WORDS.format(t="coalesce(r.journal_name, '')")} AS ja, {WORDS.format(t='c.journal_name')} AS jb,
+    list_distinct(list_transform(coalesce(r.authors, []), lambda n: lower(list_last(string_split(trim(n), ' '))))) AS pa, list_distinct(list_transform(c.authors, lambda n: lower(list_last(string_split(trim(n), ' '))))) AS pb,
+    '10.1000/' || r.ref_id = c.doi AND r.doi IS NOT NULL AS same, CAST(r.year AS INTEGER) - CAST(c.year AS INTEGER) AS gap, r.journal_name IS NULL AS nov, c.sw, c.sure
+  FROM weighted c JOIN refs r USING (ref_id)),
+sims AS (SELECT *, CAST(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS DOUBLE) AS t, CAST(CASE WHEN nov THEN 0 ELSE len(list_intersect(ja, jb)) / len(list_distinct(list_concat(ja, jb))) END AS DOUBLE) AS v,
+  CASE WHEN len(pa) > 0 THEN 0.25 * len(list_intersect(pa, pb)) / len(list_distinct(list_concat(pa, pb))) ELSE -0.05 END AS p FROM pairs),
+matches AS (SELECT ref_id, cand_ord, t AS near, v AS place,
+  round(CAST(CASE WHEN coalesce(same, false) THEN 1.0 ELSE 0.0 END AS DOUBLE) + 0.9 * t + CAST(p AS DOUBLE) + CAST(CASE WHEN gap = 0 THEN 0.12 WHEN abs(gap) = 1 THEN -0.03 WHEN abs(gap) = 2 THEN -0.06 ELSE -0.12 END AS DOUBLE) + 0.08 * v + CAST(sw AS DOUBLE), 6) AS score,
+  sure AND (coalesce(same, false) OR (t >= 0.93 AND (len(list_intersect(pa, pb)) > 0 OR abs(gap) <= 1) AND (nov OR v >= 0.80))) AS trusted FROM sims)"""
+
+IEEE = """CASE ref_id % 4 WHEN 0 THEN coalesce('A. M. ' || split_part(authors[1], ' ', 3) || ', and J.-P. ' || CASE WHEN trim(authors[2][7:]) LIKE '% %' THEN upper(authors[2][7]) || '. ' || split_part(trim(authors[2][7:]), ' ', 2) ELSE trim(authors[2][7:]) END, '')
+          WHEN 1 THEN upper(authors[1][1]) || '. V. ' || list_last(string_split(authors[1], ' ')) || ', M.-A. Lee, and Q. Kim, Jr.' WHEN 2 THEN authors[1] || ' *et al.*' ELSE '' END"""
+
 SQL = {
     "field_votes": f"WITH {CAND}, {VOTES} SELECT ref_id, field, value, CAST(weight AS DOUBLE) AS weight, source FROM votes",
     "author_votes": f"""WITH {CAND}, n AS (SELECT ref_id, cand_ord, source, w, authors, list_transform(authors, lambda a: lower(a)) AS norm FROM weighted),
@@ -89,7 +112,7 @@ SQL = {
       s AS (SELECT ref_id, cluster, sum(w) AS weight, min(cand_ord) AS first FROM clustered GROUP BY ALL)
       SELECT s.ref_id, s.cluster, CAST(CASE WHEN a.doi IS NOT NULL THEN 100 ELSE weight END AS DOUBLE) AS score, a.doi FROM s LEFT JOIN a USING (ref_id, cluster)
       QUALIFY row_number() OVER (PARTITION BY s.ref_id ORDER BY CASE WHEN a.doi IS NOT NULL THEN 100 ELSE weight END DESC, s.first) = 1""",
-    "consensus_vote": f"""WITH {CAND}, {VOTES}, {YEARS}, wide AS (SELECT ref_id, {', '.join(f"max(value) FILTER (WHERE field = '{f}') AS {f}" for f in _FIELDS)} FROM votes GROUP BY ref_id),
+    "consensus_vote": f"""WITH {CAND}, {VOTES}, {YEARS}, wide AS (SELECT ref_id, {', '.join(f"max(value) FILTER (WHERE field = '{f}') AS {f}" for f in FIELDS)} FROM votes GROUP BY ref_id),
       g AS (SELECT ref_id, list_transform(authors, lambda a: lower(a)) AS norm, sum(w) AS weight, min(cand_ord) AS first, arg_min(authors, cand_ord) AS authors FROM weighted GROUP BY ALL),
       people AS (SELECT ref_id, authors FROM g QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY weight DESC, first) = 1)
       SELECT ref_id, title, journal_name, journal_abbrev, volume, issue, pages, month, doi, year, years.source AS year_source,
@@ -129,7 +152,7 @@ SQL = {
       SELECT ref_id, CAST(sum(w) AS DOUBLE) AS votes, round(CAST(sum(sw) AS DOUBLE), 6) AS score, bool_or(sure) AS trusted, string_agg(DISTINCT label, ', ' ORDER BY label) AS labels FROM l GROUP BY ref_id""",
     "parsed_references": f"""WITH {CAND}, {REFS}, {STRINGS} SELECT ref_id, title || ',' AS title, 'A. Author' || ref_id % 7 || '|' || 'B. Writer' || ref_id % 5 AS authors, CASE WHEN ref_id % 2 = 0 THEN '10.1000/' || ref_id || '.' END AS doi,
       CASE WHEN ref_id % 2 = 1 AND ref_id % 9 = 0 THEN '2101.' || lpad(CAST(ref_id % 100000 AS VARCHAR), 5, '0') WHEN ref_id % 2 = 0 THEN nullif(regexp_extract(reference, '\\s*(\\d{{4}}\\.\\d{{4,5}})', 1), '') END AS arxiv_id, nullif(replace(pages, '–', '-'), '') AS pages, volume, issue, nullif(regexp_extract(reference, '\\b((?:19|20)\\d{{2}})\\b', 1), '') AS year FROM refs JOIN strings USING (ref_id)""",
-    "marked_references": f"WITH {CAND}, {REFS}, {STRINGS}, s AS (SELECT doc_id, pos, reference FROM strings WHERE doc_id % 3 = 0) SELECT doc_id, CAST(pos + 1 AS INTEGER) AS pos, reference FROM s UNION ALL SELECT DISTINCT doc_id, 1, 'Body text References' FROM s",
+    "marked_references": f"WITH {CAND}, {REFS}, {STRINGS}, s AS (SELECT doc_id, pos, reference FROM strings WHERE doc_id % 3 = 0) SELECT doc_id, CAST(pos + 1 AS INTEGER) AS pos, reference FROM s UNION ALL SELECT DISTINCT doc_id, 1, 'Body text References' FROM s UNION ALL SELECT doc_id, 1, string_agg(reference, ' ' ORDER BY pos) FROM strings WHERE doc_id % 3 <> 0 GROUP BY doc_id",
     "extracted_references": f"WITH {CAND}, {REFS}, {STRINGS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, reference FROM strings WHERE doc_id % 3 = 0",
     "doi_lookup": f"""WITH {CAND}, {REFS} SELECT r.ref_id, c.source, c.ref_id || '-' || c.cand_ord AS cand_key, c.title FROM refs r JOIN cand c ON c.doi = '10.1000/' || r.ref_id WHERE r.doi IS NOT NULL AND c.source NOT IN ('pubmed', 'arxiv')""",
     "arxiv_lookup": f"""WITH {CAND}, {REFS} SELECT r.ref_id, c.source, c.ref_id || '-' || c.cand_ord AS cand_key, c.title FROM refs r JOIN cand c ON c.source = 'arxiv' AND c.ref_id % 100000 = r.ref_id % 100000 WHERE r.ref_id % 9 = 0 AND r.ref_id % 2 = 1""",
@@ -143,22 +166,15 @@ SQL = {
       SELECT request_id, ref_hash FROM g WHERE before IS NULL OR epoch_us(ts) - epoch_us(before) > 3600000000""",
     "feed_entries": """SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<&]*)', 1), '\\s+', ' ', 'g')) AS title, 'A. One|B. Two' AS authors, 'arXiv' AS journal_name, CAST(2000 + page_id % 25 AS VARCHAR) AS year, '2101.' || lpad(CAST(page_id AS VARCHAR), 5, '0') AS arxiv_id FROM pages
       WHERE trim(regexp_extract(html, '<title>([^<&]*)', 1)) <> ''""",
-    "retraction_notices": "SELECT left(split_part(text, chr(10), 1), 100) AS title, '10.8/' || item_id AS doi, '10.9/' || item_id AS update_doi, 'publisher' AS update_source, '2024-01-01' AS updated FROM benchmark WHERE item_id % 3 = 0",
-    "paragraph_references": f"""WITH {CAND}, {REFS}, {STRINGS}, one AS (SELECT * FROM strings WHERE doc_id % 3 = 1) SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, reference, false AS marked,
-      true AS looks_new FROM one""",
-    "match_scores": f"""WITH {CAND}, {REFS}, x AS (
-        SELECT c.ref_id, c.cand_ord, {WORDS.format(t='r.title')} AS a, {WORDS.format(t='c.title')} AS b, {WORDS.format(t="coalesce(r.journal_name, '')")} AS ja, {WORDS.format(t='c.journal_name')} AS jb,
-          list_distinct(list_transform(coalesce(r.authors, []), lambda n: lower(list_last(string_split(trim(n), ' '))))) AS pa, list_distinct(list_transform(c.authors, lambda n: lower(list_last(string_split(trim(n), ' '))))) AS pb,
-          '10.1000/' || r.ref_id = c.doi AND r.doi IS NOT NULL AS same, CAST(r.year AS INTEGER) - CAST(c.year AS INTEGER) AS gap, r.journal_name IS NULL AS nov, c.sw, c.sure
-        FROM weighted c JOIN refs r USING (ref_id)),
-      s AS (SELECT *, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS t, CASE WHEN nov THEN 0 ELSE len(list_intersect(ja, jb)) / len(list_distinct(list_concat(ja, jb))) END AS v,
-        CASE WHEN len(pa) > 0 THEN 0.25 * len(list_intersect(pa, pb)) / len(list_distinct(list_concat(pa, pb))) ELSE -0.05 END AS p FROM x)
-      SELECT ref_id, cand_ord, round(CAST(t AS DOUBLE), 6) AS title_sim, round(CAST(v AS DOUBLE), 6) AS venue_sim,
-        round(CAST(CASE WHEN coalesce(same, false) THEN 1.0 ELSE 0.0 END AS DOUBLE) + 0.9 * CAST(t AS DOUBLE) + CAST(p AS DOUBLE) + CAST(CASE WHEN gap = 0 THEN 0.12 WHEN abs(gap) = 1 THEN -0.03 WHEN abs(gap) = 2 THEN -0.06 ELSE -0.12 END AS DOUBLE) + 0.08 * CAST(v AS DOUBLE) + CAST(sw AS DOUBLE), 6) AS score,
-        sure AND (coalesce(same, false) OR (t >= 0.93 AND (len(list_intersect(pa, pb)) > 0 OR abs(gap) <= 1) AND (nov OR v >= 0.80))) AS trusted FROM s""",
+    "retraction_notices": "SELECT split_part(text, chr(10), 1) AS title, '10.8/' || item_id AS doi, '10.9/' || item_id AS update_doi, 'publisher' AS update_source, '2024-01-01' AS updated FROM benchmark WHERE item_id % 3 = 0",
+    "paragraph_references": f"""WITH {CAND}, {REFS}, {STRINGS}, p AS (
+        SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, reference, false AS marked FROM strings WHERE doc_id % 3 = 1
+        UNION ALL SELECT doc_id, 0, 'Body text' || chr(10) || 'References' || chr(10) || string_agg('[' || pos || '] ' || reference, chr(10) ORDER BY pos), true FROM strings WHERE doc_id % 3 = 0 GROUP BY doc_id
+        UNION ALL SELECT doc_id, 0, string_agg(reference, chr(10) ORDER BY pos), false FROM strings WHERE doc_id % 3 = 2 GROUP BY doc_id)
+      SELECT doc_id, pos, reference, marked, regexp_matches(reference, '^([A-Z][a-z]+|[A-Z]\\.)[^\\n]{{0,60}}\\b([A-Z][a-z]+|[A-Z]\\.)') OR (length(reference) < 140 AND reference LIKE '%.') OR regexp_matches(reference, 'Proc\\.|Proceedings|IEEE') AS looks_new FROM p""",
+    "match_scores": f"WITH {CAND}, {REFS}, {MATCHES} SELECT ref_id, cand_ord, round(near, 6) AS title_sim, round(place, 6) AS venue_sim, score, trusted FROM matches",
     "scalar_authors": f"""WITH {CAND}, {REFS} SELECT ref_id,
-        CASE ref_id % 4 WHEN 0 THEN coalesce('A. M. ' || split_part(authors[1], ' ', 3) || ', and J.-P. ' || CASE WHEN trim(authors[2][7:]) LIKE '% %' THEN upper(authors[2][7]) || '. ' || split_part(trim(authors[2][7:]), ' ', 2) ELSE trim(authors[2][7:]) END, '')
-          WHEN 1 THEN upper(authors[1][1]) || '. V. ' || list_last(string_split(authors[1], ' ')) || ', M.-A. Lee, and Q. Kim, Jr.' WHEN 2 THEN authors[1] || ' *et al.*' ELSE '' END AS ieee,
+        {IEEE} AS ieee,
         CASE ref_id % 4 WHEN 0 THEN coalesce('a. m. ' || lower(split_part(authors[1], ' ', 3)) || '|j. ' || CASE WHEN trim(authors[2][7:]) LIKE '% %' THEN lower(authors[2][7]) || '. ' || lower(split_part(trim(authors[2][7:]), ' ', 2)) ELSE lower(trim(authors[2][7:])) END, '')
           WHEN 1 THEN lower(authors[1][1]) || '. v. ' || lower(list_last(string_split(authors[1], ' '))) || '|l. mary-ann|k. j. q.' WHEN 2 THEN lower(array_to_string(authors, '|')) ELSE '' END AS keys,
         CASE ref_id % 4 WHEN 0 THEN coalesce(lower(split_part(authors[1], ' ', 3)) || '|' || CASE WHEN trim(authors[2][7:]) LIKE '% %' THEN 'j.-p. ' || lower(split_part(trim(authors[2][7:]), ' ', 2)) ELSE 'j.-p. ' || lower(trim(authors[2][7:])) END, '')
@@ -170,10 +186,6 @@ SQL = {
       o AS (SELECT *, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY list_position(['crossref','openalex','semanticscholar','ieeexplore','pubmed','arxiv'], source), kind, key) AS INTEGER) AS cand_ord FROM f),
       g AS (SELECT ref_id, source, coalesce(lower(doi), title) AS k, min(cand_ord) AS cand_ord, arg_max(struct_pack(doi := doi, title := title, key := key), cand_ord) AS last FROM o GROUP BY ALL)
       SELECT ref_id, cand_ord, source, last.doi AS doi, last.title AS title, last.key AS key FROM g""",
-    "enriched": f"""WITH {CAND}, {REFS}, m AS (SELECT *, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'] AS names FROM refs)
-      SELECT r.ref_id, r.title, coalesce(r.journal_name, f.journal_name) AS journal_name, f.journal_abbrev, r.volume, r.issue, CASE WHEN regexp_full_match(r.pages, '\\d+') AND f.pages LIKE r.pages || '_%' AND regexp_matches(f.pages, '[-–]') THEN f.pages ELSE r.pages END AS pages,
-        r.year, CAST(coalesce(list_position(r.names, r.month), try_cast(r.month AS INTEGER)) AS VARCHAR) AS month, coalesce(r.doi, f.doi) AS doi, array_to_string(list_transform(coalesce(r.authors, f.authors), lambda x: trim(x)), '|') AS authors
-      FROM m r JOIN cand f ON f.ref_id = r.ref_id AND f.cand_ord = 1""",
     "recorded_outputs": """SELECT event_id AS ref_id, CASE WHEN event_id % 4 = 0 THEN props END AS object, CASE WHEN event_id % 4 = 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events""",
     "result_rows": f"""WITH {CAND}, {REFS}, {STRINGS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, ref_id, 'other' AS type, CASE WHEN ref_id % 19 = 0 THEN reference || ' [ERROR]' ELSE reference END AS formatted,
       CASE WHEN ref_id % 19 = 0 THEN 'error' WHEN ref_id % 23 = 0 THEN 'skipped' ELSE 'success' END AS status, CASE WHEN ref_id % 19 = 0 THEN 'lookup failed' END AS error FROM strings""",
@@ -193,4 +205,6 @@ SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import oracle_best, oracle_text
+
+    return {**SQL, **oracle_best.SQL, **oracle_text.SQL}

@@ -23,8 +23,7 @@ def consensus_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: weighted votes on every field and the best year of each order's candidates, as a journal reference."""
     cands = fuse.with_fields(candidates(spark, sf_dir))
     votes = fuse.vote_fields(cands, ["ref_id"])
-    fields = [f for f in fuse.VOTED]
-    wide = votes.groupBy("ref_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
+    wide = votes.groupBy("ref_id").agg(*fuse.pivoted(fuse.VOTED))
     years = fuse.best_years(cands, ["ref_id"], AS_OF).select("ref_id", "year", F.col("source").alias("year_source"))
     people = fuse.vote_authors(cands, ["ref_id"]).select("ref_id", "authors")
     rows = wide.join(years, "ref_id", "left").join(people, "ref_id", "left")
@@ -174,7 +173,8 @@ def formatted_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ["journal article", "conference paper", "preprint", "book", "book chapter", "dataset"]
     refs = _styled(spark, sf_dir)
     kind = F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("ref_id") % 6 + 1).cast("int"))
-    return refs.select("ref_id", kind.alias("type"), render.format_reference(fuse.record(refs), kind).alias("formatted"))
+    rows = refs.select("ref_id", kind.alias("type"), fuse.record(refs).alias("r"))
+    return rows.select("ref_id", "type", render.format_reference(F.col("r"), F.col("type")).alias("formatted"))
 
 
 def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,22 +190,25 @@ _KIND = ["journal article", "conference paper", "book", "book chapter", "thesis"
 def csl_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _styled(spark, sf_dir)
     kind = F.element_at(F.array(*[F.lit(x) for x in _KIND]), (F.col("ref_id") % 7 + 1).cast("int"))
-    js = render.csl_json(fuse.record(refs), kind)
-    return refs.select("ref_id", *[F.get_json_object(js, f"$.{p}").alias(n) for n, p in {"type": "type", "title": "title", "family": "author[0].family", "given": "author[0].given", "container": "container-title", "page": "page", "url": "URL", "doi": "DOI", "issued": "issued.date-parts"}.items()])
+    rows = refs.select("ref_id", fuse.record(refs).alias("r"), kind.alias("kind")).select("ref_id", render.csl_json(F.col("r"), F.col("kind")).alias("js"))
+    return rows.select("ref_id", *[F.get_json_object("js", f"$.{p}").alias(n) for n, p in {"type": "type", "title": "title", "family": "author[0].family", "given": "author[0].given", "container": "container-title", "page": "page", "url": "URL", "doi": "DOI", "issued": "issued.date-parts"}.items()])
 
 
 def bibtex_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _styled(spark, sf_dir)
     kind = F.element_at(F.array(*[F.lit(x) for x in _KIND]), (F.col("ref_id") % 7 + 1).cast("int"))
-    return refs.select("ref_id", render.bibtex(fuse.record(refs), kind).alias("bibtex"))
+    rows = refs.select("ref_id", fuse.record(refs).alias("r"), kind.alias("kind"))
+    return rows.select("ref_id", render.bibtex(F.col("r"), F.col("kind")).alias("bibtex"))
 
 
 def recorded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _styled(spark, sf_dir)
     k = F.col("ref_id")
     line = F.when(k % 3 == 0, F.concat(F.lit('A. B,  "'), "title", F.lit('" , pp. 12, 19 , pp. .'))).when(k % 3 == 1, F.lit("too short"))
-    out, source = render.with_recorded_line(line, render.format_reference(fuse.record(refs), F.lit("journal article")))
-    return refs.select("ref_id", out.alias("formatted"), source.alias("format_source"), render.prompt_payload(fuse.record(refs), F.lit("journal article")).alias("payload"))
+    rows = refs.select("ref_id", fuse.record(refs).alias("r"), line.alias("line"))
+    rows = rows.select("ref_id", "r", "line", render.format_reference(F.col("r"), F.lit("journal article")).alias("ruled"))
+    out, source = render.with_recorded_line(F.col("line"), F.col("ruled"))
+    return rows.select("ref_id", out.alias("formatted"), source.alias("format_source"), render.prompt_payload(F.col("r"), F.lit("journal article")).alias("payload"))
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SOURCES
@@ -16,94 +16,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _s(c) -> "F.Column":
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
-
-
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line: a record found for the order, from the source of its line number."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    line, end = F.col("l_linenumber"), F.col("l_partkey") + F.col("l_quantity").cast("long")
-    source = F.lit("other")
-    for i, s in enumerate(_BY_LINE):
-        source = F.when(line == i + 1, s).otherwise(source)
-    pages = F.when(F.col("l_partkey") % 3 == 0, _s("l_partkey")).otherwise(F.concat(_s("l_partkey"), F.when(F.col("l_partkey") % 3 == 1, "-").otherwise("–"), _s(end)))
-    doi = F.when((F.col("l_orderkey") % 2 == 0) & line.isin(1, 2, 4), F.concat(F.lit("10.1000/"), _s("l_orderkey"))).when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("10.2000/"), _s("l_partkey")))
-    authors = F.array(F.concat(F.lit("Anna Maria "), "s_name"), F.concat(F.lit("J.-P. "), F.substr("p_name", F.lit(1), F.lit(5))))
-    return rows.select(
-        F.col("l_orderkey").alias("ref_id"),
-        F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)).alias("cand_ord"),
-        source.alias("source"),
-        F.col("p_name").alias("title"),
-        authors.alias("authors"),
-        F.concat_ws(" ", "p_brand", "p_type").alias("journal_name"),
-        F.concat(F.lit("B. "), "p_brand").alias("journal_abbrev"),
-        _s("l_suppkey").alias("volume"),
-        _s(F.col("l_quantity").cast("int") % 12).alias("issue"),
-        pages.alias("pages"),
-        _s(F.year("l_shipdate")).alias("year"),
-        _s(F.month("l_shipdate")).alias("month"),
-        doi.alias("doi"),
-        F.when(line == 1, F.when(F.col("p_size") % 2 == 0, "journal-article").otherwise("proceedings-article")).alias("cr_type"),
-        ((line == 2) & (F.col("p_size") % 3 == 0)).alias("oa_is_proceedings"),
-        F.when(line == 3, F.array(F.lit("JournalArticle"), F.when(F.col("p_size") % 4 == 0, "Conference").otherwise("Review"))).alias("s2_types"),
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey")).join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey"))
+    sources = ", ".join(f"'{s}'" for s in _BY_LINE)
+    return rows.selectExpr(
+        "l_orderkey AS ref_id",
+        f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS cand_ord",
+        f"coalesce(get(array({sources}), cast(l_linenumber AS int) - 1), 'other') AS source",
+        "p_name AS title",
+        "array(concat('Anna Maria ', s_name), concat('J.-P. ', substr(p_name, 1, 5))) AS authors",
+        "concat_ws(' ', p_brand, p_type) AS journal_name",
+        "concat('B. ', p_brand) AS journal_abbrev",
+        "cast(l_suppkey AS string) AS volume",
+        "cast(cast(l_quantity AS int) % 12 AS string) AS issue",
+        "CASE WHEN l_partkey % 3 = 0 THEN cast(l_partkey AS string) ELSE concat(cast(l_partkey AS string), CASE WHEN l_partkey % 3 = 1 THEN '-' ELSE '–' END, cast(l_partkey + cast(l_quantity AS bigint) AS string)) END AS pages",
+        "cast(year(l_shipdate) AS string) AS year",
+        "cast(month(l_shipdate) AS string) AS month",
+        "CASE WHEN l_orderkey % 2 = 0 AND l_linenumber IN (1, 2, 4) THEN concat('10.1000/', cast(l_orderkey AS string)) WHEN l_partkey % 5 = 0 THEN concat('10.2000/', cast(l_partkey AS string)) END AS doi",
+        "CASE WHEN l_linenumber = 1 THEN if(p_size % 2 = 0, 'journal-article', 'proceedings-article') END AS cr_type",
+        "l_linenumber = 2 AND p_size % 3 = 0 AS oa_is_proceedings",
+        "CASE WHEN l_linenumber = 3 THEN array('JournalArticle', if(p_size % 4 = 0, 'Conference', 'Review')) END AS s2_types",
     )
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: a parsed reference whose title is near that of the first candidate, if there is one."""
-    first = candidates(spark, sf_dir).where("cand_ord = 1").select(F.col("ref_id").alias("k"), F.col("title").alias("t"), F.col("authors").alias("a"), F.col("journal_name").alias("j"), F.col("pages").alias("p"))
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(first, F.col("o_orderkey") == F.col("k"), "left")
-    key = F.col("o_orderkey")
-    title = F.when(F.col("t").isNull(), F.concat(F.lit("untitled work "), _s(key))).when(key % 3 == 0, F.col("t")).when(key % 3 == 1, F.concat(F.upper("t"), F.lit("."))).otherwise(F.concat("t", F.lit(" revisited")))
-    authors = (
-        F.when(key % 4 == 0, F.col("a"))
-        .when(key % 4 == 1, F.array(F.concat(F.initcap(F.lower("c_mktsegment")), F.lit(" van "), F.lit("Dyk"), _s(F.col("c_nationkey"))), F.lit("Lee, Mary-Ann"), F.lit("Kim Jr., Q.")))
-        .when(key % 4 == 2, F.array(*[F.concat(F.lit(f"{x}. Author"), _s(F.col("c_nationkey"))) for x in "ABCDEFG"]))
-    )
-    doi = F.when(key % 4 == 0, F.concat(F.lit("https://doi.org/10.1000/"), _s(key))).when(key % 2 == 0, F.concat(F.lit("doi:10.1000/"), _s(key)))
-    return rows.select(
-        key.alias("ref_id"),
-        title.alias("title"),
-        authors.alias("authors"),
-        F.when(key % 5 == 0, F.col("j")).otherwise(F.concat(F.lit("Journal of "), "c_mktsegment")).alias("journal_name"),
-        F.lit(None).cast("string").alias("journal_abbrev"),
-        _s("o_custkey").alias("volume"),
-        F.substr("o_orderpriority", F.lit(1), F.lit(1)).alias("issue"),
-        F.when(key % 2 == 0, F.regexp_extract("p", r"^(\d+)", 1)).otherwise(F.col("p")).alias("pages"),
-        _s(F.year("o_orderdate")).alias("year"),
-        F.when(key % 2 == 0, F.date_format("o_orderdate", "MMM")).otherwise(_s(F.month("o_orderdate"))).alias("month"),
-        doi.alias("doi"),
-        F.col("o_custkey").alias("doc_id"),
+    first = candidates(spark, sf_dir).where("cand_ord = 1").selectExpr("ref_id AS k", "title AS t", "authors AS a", "journal_name AS j", "pages AS p")
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).join(first, F.expr("o_orderkey = k"), "left")
+    seven = ", ".join(f"concat('{x}. Author', cast(c_nationkey AS string))" for x in "ABCDEFG")
+    return rows.selectExpr(
+        "o_orderkey AS ref_id",
+        "CASE WHEN t IS NULL THEN concat('untitled work ', cast(o_orderkey AS string)) WHEN o_orderkey % 3 = 0 THEN t WHEN o_orderkey % 3 = 1 THEN concat(upper(t), '.') ELSE concat(t, ' revisited') END AS title",
+        f"CASE o_orderkey % 4 WHEN 0 THEN a WHEN 1 THEN array(concat(initcap(lower(c_mktsegment)), ' van Dyk', cast(c_nationkey AS string)), 'Lee, Mary-Ann', 'Kim Jr., Q.') WHEN 2 THEN array({seven}) END AS authors",
+        "CASE WHEN o_orderkey % 5 = 0 THEN j ELSE concat('Journal of ', c_mktsegment) END AS journal_name",
+        "cast(NULL AS string) AS journal_abbrev",
+        "cast(o_custkey AS string) AS volume",
+        "substr(o_orderpriority, 1, 1) AS issue",
+        r"CASE WHEN o_orderkey % 2 = 0 THEN regexp_extract(p, r'^(\d+)', 1) ELSE p END AS pages",
+        "cast(year(o_orderdate) AS string) AS year",
+        "CASE WHEN o_orderkey % 2 = 0 THEN date_format(o_orderdate, 'MMM') ELSE cast(month(o_orderdate) AS string) END AS month",
+        "CASE WHEN o_orderkey % 4 = 0 THEN concat('https://doi.org/10.1000/', cast(o_orderkey AS string)) WHEN o_orderkey % 2 = 0 THEN concat('doi:10.1000/', cast(o_orderkey AS string)) END AS doi",
+        "o_custkey AS doc_id",
     )
 
 
 def reference_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, ref_id, reference): a formatted line for each reference, in order within its customer's list."""
-    r = references(spark, sf_dir)
-    key = F.col("ref_id")
     parts = [
-        F.concat(F.lit("A. Author"), _s(key % 7), F.lit(" and B. Writer"), _s(key % 5)),
-        F.concat(F.lit('"'), "title", F.lit(',"')),
-        F.concat(F.lit("*"), "journal_name", F.lit("*")),
-        F.concat(F.lit("vol. "), "volume"),
-        F.concat(F.lit("no. "), "issue"),
-        F.when(F.col("pages") != "", F.concat(F.lit("pp. "), "pages")),
-        F.col("year"),
-        F.when(key % 2 == 0, F.concat(F.lit("doi: 10.1000/"), _s(key))).when(key % 9 == 0, F.concat(F.lit("arXiv:2101."), F.lpad(_s(key % 100_000), 5, "0"), F.lit("v2"))),
+        "concat('A. Author', cast(ref_id % 7 AS string), ' and B. Writer', cast(ref_id % 5 AS string))",
+        """concat('"', title, ',"')""",
+        "concat('*', journal_name, '*')",
+        "concat('vol. ', volume)",
+        "concat('no. ', issue)",
+        "CASE WHEN pages <> '' THEN concat('pp. ', pages) END",
+        "year",
+        "CASE WHEN ref_id % 2 = 0 THEN concat('doi: 10.1000/', cast(ref_id AS string)) WHEN ref_id % 9 = 0 THEN concat('arXiv:2101.', lpad(cast(ref_id % 100000 AS string), 5, '0'), 'v2') END",
     ]
-    return r.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("ref_id")).alias("pos"), "ref_id", F.concat(F.concat_ws(", ", *parts), F.lit(".")).alias("reference"))
+    return references(spark, sf_dir).selectExpr("doc_id", "row_number() OVER (PARTITION BY doc_id ORDER BY ref_id) AS pos", "ref_id", f"concat(concat_ws(', ', {', '.join(parts)}), '.') AS reference")
 
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, text): each customer's reference list in one of three layouts, under a heading."""
-    r = reference_strings(spark, sf_dir)
-    numbered = F.concat(F.lit("["), _s("pos"), F.lit("] "), F.col("reference"))
-    joined = r.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", numbered.alias("x")))), lambda s: s["x"]), "\r\n").alias("marked"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("reference").alias("x")))), lambda s: s["x"]), "\n\n\n").alias("spaced"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("reference").alias("x")))), lambda s: s["x"]), "\n").alias("block"),
-    )
-    layout = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Body text\nReferences\r\n"), "marked")).when(F.col("doc_id") % 3 == 1, F.col("spaced")).otherwise(F.col("block"))
-    ext = F.element_at(F.array(*[F.lit(x) for x in (".txt", ".TEX", ".docx", ".doc", ".png", "")]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return joined.select("doc_id", F.concat(F.lit("in/file"), _s("doc_id"), ext).alias("path"), layout.alias("text"))
+    lines = reference_strings(spark, sf_dir).groupBy("doc_id").agg(F.expr("transform(array_sort(collect_list(struct(pos, reference))), s -> s.reference) AS lines"))
+    marked = r"array_join(transform(lines, (x, i) -> concat('[', cast(i + 1 AS string), '] ', x)), '\r\n')"
+    layout = rf"CASE doc_id % 3 WHEN 0 THEN concat('Body text\nReferences\r\n', {marked}) WHEN 1 THEN array_join(lines, '\n\n\n') ELSE array_join(lines, '\n') END"
+    ext = "element_at(array('.txt', '.TEX', '.docx', '.doc', '.png', ''), cast(doc_id % 6 + 1 AS int))"
+    return lines.selectExpr("doc_id", f"concat('in/file', cast(doc_id AS string), {ext}) AS path", f"{layout} AS text")

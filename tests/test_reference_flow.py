@@ -1,5 +1,7 @@
 """A small catalog end to end, votes and clusters with ties, and the streaming entry points."""
 
+import random
+
 from citeflow.operators import fuse, lookup
 from citeflow.plans import resolve
 from citeflow.streaming import online
@@ -19,17 +21,55 @@ def catalog(spark):
 
 
 def test_resolve(spark):
+    """End to end, with a row that failed before, recorded outputs of every stage, and a catalog of journals."""
     refs = [
-        ("d", 1, "r1", 'A. Lovelace and B. Roe, "Deep graphs for tables," *J. Tables*, vol. 3, pp. 10, 2020. doi:10.1234/dg'),
-        ("d", 2, "r2", "   "),
-        ("d", 3, "r3", 'X. Nobody, "Nothing like it at all," 2001.'),
+        ("d", 1, "r1", 'A. Lovelace and B. Roe, "Deep graphs for tables," *J. Tables*, vol. 3, pp. 10, 2020. doi:10.1234/dg', None),
+        ("d", 2, "r2", "   ", None),
+        ("d", 3, "r3", 'X. Nobody, "Nothing like it at all," 2001.', None),
+        ("d", 4, "r4", "broken", "ValueError: not a zip"),
+        ("d", 5, "r5", "Just a sentence.", None),
+        ("d", 6, "r6", 'X. Nobody, "Nothing like it at all," 2001.', None),
     ]
-    df = spark.createDataFrame(refs, "doc_id string, pos int, ref_id string, reference string")
-    got = {r["ref_id"]: r for r in resolve.resolve(df, catalog(spark), max_rounds=1).collect()}
-    assert got["r2"]["status"] == "skipped" and got["r2"]["formatted"].strip() == ""
-    assert got["r1"]["status"] == "success" and got["r1"]["type"] == "journal article"
-    assert "Deep graphs for tables" in got["r1"]["formatted"] and "10–19" in got["r1"]["formatted"] and "https://doi.org/10.1234/dg" in got["r1"]["formatted"]
-    assert got["r3"]["status"] == "success" and "Trusted online match: No" in got["r3"]["report"]
+    df = spark.createDataFrame(refs, "doc_id string, pos int, ref_id string, reference string, error string")
+    told = [
+        ("r5", "validate", 0, 'Sure: {"is_reference": false}'), ("r3", "type", 0, '{"type": "Book"}'), ("r3", "parse", 0, 'Here: {"publisher": "Press", "unknown": 1} done'),
+        ("r3", "format", 0, 'X. Nobody,  "Nothing like it at all" , pp. 1, 5, 2001'), ("r1", "correct", 1, '{"location": "Oslo", "title": "Patched"}'),
+    ]
+    outputs = spark.createDataFrame(told, "ref_id string, stage string, round int, raw string")
+    journals = spark.createDataFrame([("journal of tables", "J. Tabl.")], "name_norm string, iso_abbrev string")
+    got = {r["ref_id"]: r for r in resolve.resolve(df, catalog(spark), max_rounds=1, outputs=outputs, journals=journals).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"r1": "success", "r2": "skipped", "r3": "success", "r4": "error", "r5": "skipped", "r6": "success"}
+    assert got["r2"]["formatted"].strip() == "" and got["r4"]["formatted"] == "broken [ERROR]" and got["r4"]["error"] == "ValueError: not a zip"
+    one = got["r1"]
+    assert one["type"] == "journal article" and "Deep graphs for tables" in one["formatted"] and "10–19" in one["formatted"] and "https://doi.org/10.1234/dg" in one["formatted"]
+    assert "*J. Tabl.*" in one["formatted"] and "NLM Catalog ISO Abbrev: J. Tabl." in one["report"] and "location: MISSING → Oslo" in one["report"]
+    three = got["r3"]
+    assert three["type"] == "book" and "Trusted online match: No" in three["report"] and "publisher = {Press}" in three["bibtex"]
+    assert three["format_source"] == "model" and three["formatted"] == 'X. Nobody, "Nothing like it at all", pp. 1–5, 2001.'
+    assert got["r6"]["formatted"] == three["formatted"] and one["format_source"] == "rules"
+
+
+def test_lookup_by_title_equals_brute_force(spark):
+    """Every pair of the similarity, whatever its words' frequencies; stop words alone bring none together."""
+    r = random.Random(3)
+    words = ["the", "of", "a"] * 6 + [f"w{i}" for i in range(30)]
+    title = lambda: " ".join(r.choice(words) for _ in range(r.randint(1, 9)))
+    left, right = [(i, title()) for i in range(60)], [(f"c{i}", title()) for i in range(80)]
+    right += [("x1", "alpha beta carbon delta epsilon foxtrots"), *((f"y{i}", f"alpha beta carbon other{i} more{i}") for i in range(20))]
+    left += [(100, "alpha beta carbon delta epsilon foxtrot"), (101, ""), (102, None)]
+    refs = spark.createDataFrame(left, "ref_id int, title string")
+    works = spark.createDataFrame([(k, t, "crossref", None) for k, t in right], "cand_key string, title string, source string, doi_key string")
+    for at_least in (0.3, 0.5, 0.8, 1.0):
+        got = {(x["ref_id"], x["cand_key"]): x["sim"] for x in lookup.by_title(refs, works, at_least, k=1000).where("variant = 0").collect()}
+        want = {}
+        for i, t in left:
+            for k, u in right:
+                a, b = set((t or "").split()), set(u.split())
+                if a and b and len(a & b) / len(a | b) >= at_least - 1e-9:
+                    want[i, k] = round(len(a & b) / len(a | b), 6)
+        assert got == want
+    near = lookup.by_title(refs.where("ref_id = 100"), works, 0.9, mode="token_sort").collect()
+    assert [x["cand_key"] for x in near] == ["x1"]
 
 
 def test_votes_go_to_the_first_seen(spark):

@@ -22,7 +22,7 @@ from .common import text_or_empty
 
 MARK = "▁"
 #: Distinct chunks that a task keeps, and characters that it handles at once.
-TABLE, STRETCH = 400_000, 1 << 19
+TABLE, STRETCH = 200_000, 1 << 19
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 

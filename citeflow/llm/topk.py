@@ -19,7 +19,7 @@ from .common import Scratch, shuffle_partitions
 
 K, BUCKET, QUERIES, SCALE = 5, 4096, 256, 256.0
 #: Cosine threshold from which coordinates are looked at, and how many of them.
-HIGH, FOCUS = 0.3, 4
+HIGH, FOCUS = 0.6, 4
 
 
 def _quantised(scale: float):

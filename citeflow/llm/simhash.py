@@ -73,15 +73,15 @@ def _fingerprints(words: int):
     return run
 
 
-def _pairs(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of some fingerprints lie within the radius, in blocks."""
+def _links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of some fingerprints that lie within the radius. All are compared, a few with all others at once;
+    the pairs of such a block are contracted before the next, so a group of near copies takes no memory for its pairs."""
     found = []
-    for at in range(0, len(fp), 256):
-        near = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, at:]) <= radius
-        i, j = np.nonzero(near)
+    for at in range(0, len(fp), 64):
+        i, j = np.nonzero(np.bitwise_count(fp[at : at + 64, None] ^ fp[None, at:]) <= radius)
         ok = i < j
-        found.append((i[ok] + at, j[ok] + at))
-    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+        found.append(contract(fp[i[ok] + at].view(np.int64), fp[j[ok] + at].view(np.int64)))
+    return contract(np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found]))
 
 
 def _bucket_links(radius: int, bucket: int):
@@ -108,8 +108,7 @@ def _bucket_links(radius: int, bucket: int):
             if n > bucket:
                 big.append((table[s : s + n], part))
                 continue
-            i, j = _pairs(part, radius)
-            u, v = contract(part[i].view(np.int64), part[j].view(np.int64))
+            u, v = _links(part, radius)
             a.append(u.view(np.uint64))
             b.append(v.view(np.uint64))
         u = np.concatenate(a) if a else fp[:0]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stripped
@@ -112,3 +115,33 @@ def extract_references(docs: DataFrame, longer_than: int = 10) -> DataFrame:
 def line_count(t: Column) -> Column:
     """Lines that aren't blank."""
     return F.size(F.filter(F.split(F.coalesce(t, F.lit("")), r"\r?\n"), lambda x: stripped(x) != ""))
+
+
+class SplitReferences:
+    """``references_of`` as a table function for SQL; text by text in Python, so tables had better use the former."""
+
+    def eval(self, text: str) -> Iterator[tuple[int, str]]:
+        own = re.sub(r"\n{3,}", "\n\n", re.sub(r"\r\n?", "\n", (text or "").strip()))
+        rows = [r for line in own.split("\n") if (r := line.strip())]
+        parts = [p for part in re.split(r"\n\s*\n", own) if (p := part.strip())]
+        if any(re.match(MARKER, r) for r in rows):
+            found: list[list[str]] = []
+            for r in rows:
+                if re.match(MARKER, r) or not found:
+                    found.append([])
+                found[-1].append(re.sub(MARKER + r"\s*", "", r))
+            parts = [" ".join(f).strip() for f in found]
+        elif len(parts) == 1:
+            found = [[]]
+            for r in rows:
+                cue = re.search(AUTHOR_LIKE, r) or (len(r) < 140 and r.endswith(".")) or re.search(VENUE_LIKE, r)
+                if cue and re.search(KEY, " ".join(found[-1][-2:])):
+                    found.append([])
+                found[-1].append(r)
+            parts = [" ".join(f) for f in found]
+        yield from enumerate((p for p in parts if p), 1)
+
+
+def register(spark: SparkSession, name: str = "split_references") -> None:
+    """Make ``name(text)`` a table function (pos, reference) of a session's SQL."""
+    spark.udtf.register(name, F.udtf(SplitReferences, returnType="pos int, reference string"))

@@ -186,7 +186,7 @@ SQL = {
       o AS (SELECT *, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY list_position(['crossref','openalex','semanticscholar','ieeexplore','pubmed','arxiv'], source), kind, key) AS INTEGER) AS cand_ord FROM f),
       g AS (SELECT ref_id, source, coalesce(lower(doi), title) AS k, min(cand_ord) AS cand_ord, arg_max(struct_pack(doi := doi, title := title, key := key), cand_ord) AS last FROM o GROUP BY ALL)
       SELECT ref_id, cand_ord, source, last.doi AS doi, last.title AS title, last.key AS key FROM g""",
-    "recorded_outputs": """SELECT event_id AS ref_id, CASE WHEN event_id % 4 = 0 THEN props END AS object, CASE WHEN event_id % 4 = 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events""",
+    "recorded_outputs": """WITH e AS (SELECT event_id, CASE WHEN event_id // 4 % 2 = 0 AND event_id % 4 < 2 THEN props END AS object FROM events) SELECT event_id AS ref_id, object, CAST(json_extract(object, '$.k') AS INTEGER) AS k FROM e""",
     "result_rows": f"""WITH {CAND}, {REFS}, {STRINGS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, ref_id, 'other' AS type, CASE WHEN ref_id % 19 = 0 THEN reference || ' [ERROR]' ELSE reference END AS formatted,
       CASE WHEN ref_id % 19 = 0 THEN 'error' WHEN ref_id % 23 = 0 THEN 'skipped' ELSE 'success' END AS status, CASE WHEN ref_id % 19 = 0 THEN 'lookup failed' END AS error FROM strings""",
     "evidence": f"""WITH {CAND}, {REFS}, l AS (

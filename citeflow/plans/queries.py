@@ -335,7 +335,7 @@ def recorded_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     k = F.col("event_id")
     raw = F.when(k % 4 == 0, F.col("props")).when(k % 4 == 1, F.concat(F.lit("Sure: "), "props", F.lit(" and {x} {"))).when(k % 4 == 2, F.lit('note {"k": "a}b", "z": 1')).otherwise(F.lit(""))
-    outputs = ev.select(k.alias("ref_id"), F.lit("parse").alias("stage"), (k % 2).cast("int").alias("round"), raw.alias("raw"))
+    outputs = ev.select(k.alias("ref_id"), F.lit("parse").alias("stage"), (F.floor(k / 4) % 2).cast("int").alias("round"), raw.alias("raw"))
     rows = lookup.model_outputs(ev.select(k.alias("ref_id")), outputs, "parse", 0)
     return rows.select("ref_id", files.lenient_json(F.col("raw")).alias("object"), files.coerced(F.col("raw"), "k int, title string")["k"].alias("k"))
 

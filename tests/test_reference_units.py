@@ -64,6 +64,17 @@ def test_segmentation(spark):
     assert [r["reference"] for r in segment.split_marked(docs).orderBy("pos").collect()] == ["Intro text", "First continued", "Second", "Third"]
 
 
+def test_split_as_a_table_function(spark, sf_dir):
+    from citeflow.sources.surrogates import bundles
+
+    segment.register(spark)
+    odd = [(-1, "Intro text\r\n[1] First\ncontinued\n\n2. Second\n- Third"), (-2, "one para\nline\n\n\n\ntwo para"), (-3, " \n "), (-4, None), (-5, "just one line")]
+    docs = bundles(spark, sf_dir).select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    docs.createOrReplaceTempView("bundled")
+    got = spark.sql("SELECT doc_id, s.pos, s.reference FROM bundled, LATERAL split_references(text) s").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, segment.split_references(docs).collect())) and got
+
+
 def test_recorded_output(spark):
     cases = [('{"a": 1}', '{"a": 1}'), ('Sure: {"a": "}"} done', '{"a": "}"}'), ("{bad} then {\"b\": 2}", '{"b": 2}'), ('{"cut": ', None), ("", None), (None, None)]
     many(spark, cases, files.lenient_json)
@@ -86,6 +97,45 @@ def test_docx_and_rejects(spark, tmp_path):
     assert [r["text"] for r in files.read_texts(ok).collect()] == ["café !"]
 
 
+def docx(*paragraphs):
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>" + "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs) + "</w:body></w:document>")
+    return body.getvalue()
+
+
+def test_a_folder_of_manuscripts_is_screened(spark, tmp_path):
+    from citeflow.operators import screen
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.docx").write_bytes(docx("Body", "References", '[1] A. B, "A bad work on stars"', '[2] C. D, "A good work on birds"'))
+    (tmp_path / "b.docx").write_bytes(docx("Bibliography", '1. C. D, "A good work on birds"'))
+    (tmp_path / "c.docx").write_bytes(b"not a zip")
+    kind = "cand_key string, title string, doi_key string, relation string, update_to array<struct<DOI:string,type:string,source:string,updated:string>>"
+    works = spark.createDataFrame([("1", "A bad work on stars", "10.1/a", "is-retracted-by", None), ("2", "A good work on birds", "10.1/b", None, [("10.1/c", "correction", "x", "y")])], kind)
+    got = {r["doc_id"][-6:]: (r["n_references"], r["n_retracted"], r["flagged"]) for r in screen.screen_folder(spark, f"file://{tmp_path}", works).collect()}
+    assert got == {"a.docx": (2, 1, 'A. B, "A bad work on stars"'), "b.docx": (1, 0, "")}
+
+
+def test_corpus_dump(spark, tmp_path):
+    for path, content in {"a.py": b"x = 1", "skip/b.py": b"y", "c.md": b"z", "d/e.py": b"\xff\xfe"}.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_bytes(content)
+    found = files.read_binary(spark, f"file://{tmp_path}")
+    got = sorted(r["entry"] for r in files.corpus_dump(found, ["py"], ["skip"]).collect())
+    assert got == ["a.py:\nx = 1\n\n", "e.py:\n[BINARY FILE - CONTENT NOT READ]\n\n"]
+
+
+def test_numbered_lines_are_written_in_ranges(spark, tmp_path):
+    from citeflow.operators import sinks
+
+    rows = spark.createDataFrame([(d, p, f"ref {d} {p}") for d in range(30) for p in (3, 1, 2)], "doc_id int, pos int, formatted string")
+    sinks.write_numbered(rows, f"file://{tmp_path}/out")
+    lines = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == [f"{d}\t[{n}] ref {d} {n}" for d in range(30) for n in (1, 2, 3)]
+
+
 def test_similarity_and_types(spark):
     assert common_subsequence("kitten", "sitting") == 4 and common_subsequence("", "a") == 0
     r = spark.createDataFrame([(["A B"], "T", "J", "1", "2", "3-4", "2020", "5", "10.1/x")], "authors array<string>, title string, journal_name string, volume string, issue string, pages string, year string, month string, doi string")

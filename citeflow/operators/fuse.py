@@ -202,8 +202,8 @@ def select_best(refs: DataFrame, cands: DataFrame, as_of_year: int = 2025, mode:
     best-scored candidate, or the one with the nearest title (0.95), if trustworthy; else no best record."""
     refs, cands = with_fields(refs), with_fields(cands)
     ex = refs.select("ref_id", record(refs).alias("ex"))
-    rows = prepared(cands.select("ref_id", "cand_ord", "source", record(cands).alias("c")), "c", "b")
-    rows = compared(rows.join(prepared(ex, "ex", "a").drop("ex"), "ref_id"), mode)
+    rows = prepared(cands.select("ref_id", "cand_ord", "source", record(cands).alias("c")), "c", "b", mode)
+    rows = compared(rows.join(prepared(ex, "ex", "a", mode).drop("ex"), "ref_id"), mode)
     pick = lambda by: F.max_by(F.struct("c", "source", "sure", "near"), F.struct(F.col(by), -F.col("cand_ord")))
     picks = rows.groupBy("ref_id").agg(pick("score").alias("scored"), pick("near").alias("titled"))
     fused = consensus(cands, as_of_year, mode)

@@ -70,11 +70,11 @@ def consensus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str, mode: str = "jaccard") -> DataFrame:
     """Prepared references against each of their candidates."""
     refs, cands = fuse.with_fields(references(spark, sf_dir)), fuse.with_fields(candidates(spark, sf_dir))
-    left = match.prepared(refs.select("ref_id", fuse.record(refs).alias("r")), "r", "a").drop("r")
-    right = match.prepared(cands.select("ref_id", "cand_ord", "source", fuse.record(cands).alias("r")), "r", "b").drop("r")
+    left = match.prepared(refs.select("ref_id", fuse.record(refs).alias("r")), "r", "a", mode).drop("r")
+    right = match.prepared(cands.select("ref_id", "cand_ord", "source", fuse.record(cands).alias("r")), "r", "b", mode).drop("r")
     return right.join(left, "ref_id")
 
 
@@ -84,7 +84,7 @@ def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_token_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("ref_id", "cand_ord", F.round(match.near("title", "token_sort"), 6).alias("similarity"))
+    return _pairs(spark, sf_dir, "token_sort").select("ref_id", "cand_ord", F.round(match.near("title", "token_sort"), 6).alias("similarity"))
 
 
 def selected_best(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, pii, sentencepiece_codec, simhash, suffix_dedup, token_counts, topk, toxicity
+from . import chat, exact_dedup, mixing, periodic_runs, pii, sentencepiece_codec, simhash, suffix_dedup, superminhash, token_counts, topk, toxicity, whitening
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +76,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(turns.unionByName(own))
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"), rewrite=True)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mixing,
         op9_topk,
         op10_chat_format,
+        op11_superminhash,
+        op12_periodic_runs,
+        op13_whitening,
         pipeline,
     )
     return {f.__name__: f for f in own}

@@ -6,9 +6,10 @@ but spread over its shingles, which lowers the variance of the estimate. All shi
 stops as soon as its last place is filled: later ranks are larger.
 
 Texts with equal sets are one node. Nodes that share a band (``BAND`` places) are candidates: sets of similarity 0.85 miss
-each other in all 32 bands with a probability below 1e-10. Candidates whose one-bit sketches differ in more places than such
+each other in all 32 bands with a probability below 1e-10. Candidates whose two-bit sketches differ in more places than such
 sets ever do (``APART``) are left out, all others are compared by their full sets. A bucket is never paired whole at first:
-each member meets the member that shares most buckets, and only members that are still in different groups meet each other.
+each member meets the member that shares most buckets. Then only members that are still in different groups meet, as far as
+they have enough shingles that occur outside their own group at all.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from .components import connected_components
 from .near_copies import hashed
 
 WORDS, AT_LEAST = 5, (85, 100)
-#: Places of a signature, places of a band, and by how many one-bit places sets of the wanted similarity differ at most: at
-#: 0.85 it is 9.6 on average, with a standard deviation below 3.
-PLACES, BAND, APART = 128, 4, 34
+#: Places of a signature, places of a band, and in how many places sketches of sets of the wanted similarity differ at most:
+#: at 0.85 it is 14.4 on average, with a standard deviation below 3.6.
+PLACES, BAND, APART = 128, 4, 36
+SKETCH = ["s1", "s2", "s3", "s4"]
 #: Shingles of texts that are signed together, and partners of a node that are compared in one run.
-BLOCK, PARTNERS = 100_000, 4096
+BLOCK, PARTNERS = 100_000, 512
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -79,14 +81,15 @@ def _bands(signature: np.ndarray, band: int) -> list[int]:
 
 
 def _sketch(signatures_: np.ndarray) -> np.ndarray:
-    """One bit of each of 128 places, as two numbers a row."""
-    bits = np.packbits(_mixed(signatures_) & np.uint64(1) == 1, axis=1, bitorder="little")
-    return bits.view(np.int64)
+    """Two bits of each of 128 places, as four numbers a row: the first bits, then the second ones."""
+    mixed = _mixed(signatures_)
+    planes = [np.packbits(mixed >> np.uint64(i) & np.uint64(1) == 1, axis=1, bitorder="little").view(np.int64) for i in (0, 1)]
+    return np.concatenate(planes, axis=1)
 
 
 def _signed(words: int, band: int):
     """Adds each text's digest, size, bands and sketch in place of the text."""
-    names = ["digest", "n", "bands", "s1", "s2"]
+    names = ["digest", "n", "bands", *SKETCH]
 
     def emit(rows: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         got = signatures(sets)
@@ -95,8 +98,7 @@ def _signed(words: int, band: int):
             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([_bands(row, band) if len(s) else [] for row, s in zip(got, sets)], pa.list_(pa.int64())),
-            pa.array(sketch[:, 0]),
-            pa.array(sketch[:, 1]),
+            *(pa.array(sketch[:, i]) for i in range(4)),
         ]
         return pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], names=[*rows.schema.names[:-1], *names])
 
@@ -167,10 +169,21 @@ def _may_reach(x: str, y: str, at_least: tuple[int, int], apart: int) -> Column:
     """Whether two nodes can be similar by their sizes and sketches."""
     c = lambda s: F.col(s)
     sizes = (F.lit(at_least[1]) * c(f"{x}n") >= F.lit(at_least[0]) * c(f"{y}n")) & (F.lit(at_least[1]) * c(f"{y}n") >= F.lit(at_least[0]) * c(f"{x}n"))
-    differ = F.bit_count(c(f"{x}s1").bitwiseXOR(c(f"{y}s1"))) + F.bit_count(c(f"{x}s2").bitwiseXOR(c(f"{y}s2")))
+    xor = [c(f"{x}{s}").bitwiseXOR(c(f"{y}{s}")) for s in SKETCH]
+    differ = F.bit_count(xor[0].bitwiseOR(xor[2])) + F.bit_count(xor[1].bitwiseOR(xor[3]))
     return sizes & (differ <= apart)
 
 
+def _usable(nodes: DataFrame, sets: DataFrame, at_least: tuple[int, int]) -> DataFrame:
+    """(node, usable): how many shingles of each of some ``nodes`` (node, root, n) are in a node of another root too, which
+    is the most that it can share with any. Nodes that have too few of them for any partner are left out: the strays of a
+    large group, whose own changes are nowhere else."""
+    own = sets.join(nodes, "node").select("node", "root", "n", F.explode("own").alias("h"))
+    mixed = own.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    usable = own.join(mixed, "h").groupBy("node", "n").agg(F.count("*").alias("usable"))
+    return usable.where(F.col("usable") * at_least[1] >= F.col("n") * at_least[0]).select("node", "usable")
+
+
 def grouped(docs: DataFrame, words: int = WORDS, at_least: tuple[int, int] = AT_LEAST, band: int = BAND, apart: int = APART) -> DataFrame:
     """doc_id, ident and mark (see ``row_key``), n_shingles and component_id of each row; rules of ``near_duplicates``."""
     if PLACES % band:
@@ -179,16 +192,16 @@ def grouped(docs: DataFrame, words: int = WORDS, at_least: tuple[int, int] = AT_
     ident, mark = row_key()
     texts = docs.select("doc_id", ident.alias("ident"), mark.alias("mark"), text_or_empty().cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, ident string, mark long, digest binary, n long, bands array<long>, s1 long, s2 long"
+    schema = f"doc_id {kind}, ident string, mark long, digest binary, n long, bands array<long>, {', '.join(f'{c} long' for c in SKETCH)}"
     wide = scratch.keep(texts.mapInArrow(_signed(words, band), schema), "signed")
     rows = scratch.keep(wide.select("doc_id", "ident", "mark", "digest", "n"), "rows")
 
     # one node for each set, named by its place in a written table
-    first = F.min(F.struct("ident", "mark", "bands", "s1", "s2")).alias("k")
+    first = F.min(F.struct("ident", "mark", "bands", *SKETCH)).alias("k")
     nodes = wide.where("n > 0").groupBy("digest", "n").agg(first, F.min("doc_id").alias("low"))
     nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "low", "k.*"), "nodes")
     scratch.drop("signed")
-    about = nodes.select("node", "n", "s1", "s2")
+    about = nodes.select("node", "n", *SKETCH)
     entries = nodes.select("node", F.explode("bands").alias("h"))
     shared = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     met = scratch.keep(entries.join(shared, "h"), "met")
@@ -210,9 +223,15 @@ def grouped(docs: DataFrame, words: int = WORDS, at_least: tuple[int, int] = AT_
     known = met.select("h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     open_ = scratch.keep(known.join(mixed, "h").join(about, "node"), "open")
-    x, y = (open_.select("h", *[F.col(c).alias(f"{p}{c}") for c in ("node", "root", "n", "s1", "s2")]) for p in ("a", "b"))
-    fits = (F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & _may_reach("a", "b", at_least, apart)
-    pairs = x.join(y, (x.h == y.h) & fits).select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()
+    usable = _usable(open_.select("node", "root", "n").distinct(), sets, at_least)
+    open_ = scratch.keep(open_.join(usable, "node"), "usable")
+    places = open_.groupBy("node").agg(F.collect_list("h").alias("hs"))  # as many as a signature has bands at most
+    open_ = scratch.keep(open_.join(places, "node"), "places")
+    x, y = (open_.select("h", *[F.col(c).alias(f"{p}{c}") for c in ("node", "root", "n", "usable", "hs", *SKETCH)]) for p in ("a", "b"))
+    share = F.least("ausable", "busable") * (at_least[0] + at_least[1]) >= at_least[0] * (F.col("an") + F.col("bn"))
+    fits = (F.col("anode") < F.col("bnode")) & (F.col("aroot") != F.col("broot")) & share & _may_reach("a", "b", at_least, apart)
+    once = x.h == F.array_min(F.array_intersect("ahs", "bhs"))  # a pair meets in the first bucket that both are in
+    pairs = x.join(y, (x.h == y.h) & fits & once).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, sets, scratch, "far", at_least)
@@ -224,13 +243,13 @@ def grouped(docs: DataFrame, words: int = WORDS, at_least: tuple[int, int] = AT_
     names = scratch.keep(named.join(least, "root").select("digest", "component_id"), "names")
     out = rows.join(names, "digest", "left").select("doc_id", "ident", "mark", F.col("n").alias("n_shingles"), "digest", "component_id")
     out = scratch.keep(out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))), "grouped")
-    for name in ("rows", "nodes", "met", "stars", "sets", "near", "roots", "open", "rest", "far", "named", "least", "names"):
+    for name in ("rows", "nodes", "met", "stars", "sets", "near", "roots", "open", "usable", "places", "rest", "far", "named", "least", "names"):
         scratch.drop(name)
     return out
 
 
 def _named(about: DataFrame, prefix: str) -> DataFrame:
-    return about.select(F.col("node").alias(prefix), *[F.col(c).alias(f"{prefix}{c}") for c in ("n", "s1", "s2")])
+    return about.select(F.col("node").alias(prefix), *[F.col(c).alias(f"{prefix}{c}") for c in ("n", *SKETCH)])
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, at_least: tuple[int, int] = AT_LEAST, band: int = BAND, apart: int = APART) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
-    YEAR_PRIORITY, author_keys, clean_authors, doi_key, first_number, given, is_page_range, is_plausible_year,
+    YEAR_PRIORITY, author_keys, bound, clean_authors, doi_key, first_number, given, is_page_range, is_plausible_year,
     is_single_page, is_trusted, month_number, once, pages_richness, text, vote_weight, year_of,
 )
 from ..functions.similarity import similarity, word_set
@@ -38,28 +38,114 @@ def record(df: DataFrame) -> Column:
     return F.expr(f"transform(array(cast(named_struct({struct}) AS {RECORD})), r -> r)[0]")
 
 
-def cluster_titles(cands: DataFrame, mode: str = "jaccard") -> DataFrame:
-    """(ref_id, cand_ord, cluster): greedy leader clustering in candidate order. A candidate joins the first cluster
-    whose first title is similar enough. A fold over a reference's candidates, which are few."""
-    if mode != "jaccard":
-        return _cluster_by_pairs(cands, mode)
-    own = cands.groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct("cand_ord", word_set(F.col("title")).alias("w")))).alias("own"))
-    start = F.struct(F.array().cast("array<array<string>>").alias("leads"), F.array().cast("array<struct<cand_ord:int,cluster:int>>").alias("out"))
+def candidate(df: DataFrame, as_of_year: int) -> DataFrame:
+    """Adds ``m`` to rows with cand_ord, source and a record ``c``: what votes need of a candidate, computed once, under
+    short names, as votes name it often: its place, source, weight, trust, title words, DOI, author keys, plausible year,
+    the source's rank for years, how rich its pages are, and the first page."""
+    prio = F.array_position(F.array(*[F.lit(s) for s in YEAR_PRIORITY]), F.lower("source"))
+    year = year_of("c.year")
+    parts = {
+        "o": F.col("cand_ord").cast("int"),
+        "s": F.col("source"),
+        "w": vote_weight(F.col("source")),
+        "sure": is_trusted(F.col("source")),
+        "words": word_set(F.col("c.title")),
+        "dk": doi_key("c.doi"),
+        "norm": author_keys(F.col("c.authors")),
+        "yr": bound(year, lambda y: F.when(is_plausible_year(y, as_of_year), y)),
+        "prio": F.when(prio > 0, prio).otherwise(99).cast("int"),
+        "rich": pages_richness("c.pages"),
+        "start": first_number("c.pages"),
+        "c": F.col("c"),
+    }
+    more = {"k": F.col("cluster")} if "cluster" in df.columns else {}
+    return df.withColumn("m", F.when(F.col("cand_ord").isNotNull(), F.struct(*[v.alias(k) for k, v in {**parts, **more}.items()])))
 
-    def near(a: Column, b: Column) -> Column:
-        return (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) >= SAME_TITLE * F.size(F.array_union(a, b)))
 
-    def place(acc: Column, c: Column) -> Column:
-        hits = F.transform(acc["leads"], lambda w: near(w, c["w"]))
-        at = F.array_position(hits, True)
-        known = at > 0
-        cluster = F.when(known, at).otherwise(F.size(acc["leads"]) + 1).cast("int")
-        return F.struct(
-            F.when(known, acc["leads"]).otherwise(F.concat(acc["leads"], F.array(c["w"]))).alias("leads"),
-            F.concat(acc["out"], F.array(F.struct(c["cand_ord"].cast("int").alias("cand_ord"), cluster.alias("cluster")))).alias("out"),
-        )
+def gathered(cands: DataFrame, as_of_year: int = 2025, mode: str = "jaccard") -> DataFrame:
+    """(ref_id, own): each reference's candidates (``candidate``) as one array in their order. One shuffle by reference;
+    all that follows is narrow. Candidates of a reference are few, by the limits of the lookups."""
+    rows = with_fields(cands)
+    rows = clustered(rows.select("ref_id", "cand_ord", "source", "title", record(rows).alias("c")), mode)
+    return candidate(rows, as_of_year).groupBy("ref_id").agg(F.array_sort(F.collect_list("m")).alias("own"))
+
+
+def clustered(cands: DataFrame, mode: str) -> DataFrame:
+    """Adds ``cluster`` where it can't be told by expressions (``numbered`` tells it else)."""
+    return cands if mode == "jaccard" else cands.join(_cluster_by_pairs(cands, mode), ["ref_id", "cand_ord"], "left")
+
+
+_NEAR = f"size(w) > 0 AND size(m.words) > 0 AND size(array_intersect(w, m.words)) >= {SAME_TITLE} * size(array_union(w, m.words))"
+_PLACE = f"array_position(transform(acc.leads, w -> {_NEAR}), true)"
+_NEXT = "named_struct('leads', if(at > 0, acc.leads, concat(acc.leads, array(m.words))), 'at', concat(acc.at, array(cast(if(at > 0, at, size(acc.leads) + 1) AS int))))"
+_START = "named_struct('leads', cast(array() AS array<array<string>>), 'at', cast(array() AS array<int>))"
+
+
+def numbered(df: DataFrame, mode: str = "jaccard") -> DataFrame:
+    """Adds ``at``: the cluster of each candidate of ``own``. Greedy leader clustering in candidate order: a candidate
+    joins the first cluster whose first title is similar enough."""
+    fold = f"aggregate(own, {_START}, (acc, m) -> transform(array({_PLACE}), at -> {_NEXT})[0]).at"
+    return df.withColumn("at", F.expr(fold if mode == "jaccard" else "transform(own, m -> m.k)"))
+
+
+def _sum(of: str) -> str:
+    return f"aggregate({of}, cast(0 AS decimal(12,2)), (t, h) -> cast(t + h.w AS decimal(12,2)))"
+
+
+def _groups(rows: str, key: str, out: str) -> str:
+    """SQL of the largest struct ``out`` (of a key and its members hs) over the keys of an array; NULL keys have none."""
+    keys = f"array_distinct(filter(transform({rows}, h -> {key}), k -> k IS NOT NULL))"
+    return f"array_max(transform({keys}, k -> transform(array(filter({rows}, h -> {key} = k)), hs -> {out})[0]))"
 
-    return own.select("ref_id", F.explode(F.aggregate("own", start, place)["out"]).alias("o")).select("ref_id", "o.*")
+
+_AGREE = _groups("ms", "h.dk", "named_struct('n', size(hs), 'f', -hs[0].o, 'd', k, 'sure', exists(hs, h -> h.sure))")
+_SCORED = f"named_struct('score', cast(if(a.n >= 2 OR a.sure, 100, {_sum('ms')}) AS decimal(12,2)), 'f', -ms[0].o, 'cluster', c, 'agreed', if(a.n >= 2 OR a.sure, a.d, NULL))"
+
+
+def ranked(df: DataFrame) -> DataFrame:
+    """Adds ``top`` (score, f, cluster, agreed): the best cluster. A DOI that two members or a trusted source hold scores
+    100, else the sum of vote weights; ties go to the cluster that was seen first."""
+    one = f"transform(array(filter(own, (m, i) -> at[i] = c)), ms -> transform(array({_AGREE}), a -> {_SCORED})[0])[0]"
+    return df.withColumn("top", F.expr(f"array_max(transform(sequence(1, array_max(at)), c -> {one}))"))
+
+
+def voted(df: DataFrame, members: str) -> DataFrame:
+    """Adds ``votes`` (a struct for each of VOTED: w, v, s), ``people`` (best.raw, best.s) and ``years`` (y, s) over an array
+    of candidates. Rules of ``vote_fields``, ``vote_authors`` and ``best_years``."""
+    entry = lambda f: f"transform(filter({members}, m -> m.c.{f} IS NOT NULL), m -> named_struct('v', m.c.{f}, 'w', m.w, 'o', m.o, 's', m.s, 'r', {'m.rich' if f == 'pages' else '0'}, 'z', {'length(m.c.pages)' if f == 'pages' else '0'}))"
+    heaviest = "array_max(transform(hs, h -> named_struct('w', h.w, 'o', -h.o, 's', h.s))).s"
+    plurality = _groups("es", "h.v", f"named_struct('w', {_sum('hs')}, 'r', hs[0].r, 'z', hs[0].z, 'f', -hs[0].o, 'v', k, 's', {heaviest})")
+    spelled = "array_max(transform(hs, h -> named_struct('n', size(h.c.authors), 'o', -h.o, 'raw', h.c.authors, 's', h.s)))"
+    people = _groups(members, "if(size(h.norm) > 0, h.norm, NULL)", f"named_struct('w', {_sum('hs')}, 'f', -hs[0].o, 'best', {spelled})")
+    years = _groups(members, "if(h.yr IS NULL, NULL, struct(h.prio AS p, h.yr AS y))", "named_struct('p', -k.p, 'n', size(hs), 'f', -hs[0].o, 'y', k.y)")
+    return df.selectExpr("*", f"transform(array({', '.join(map(entry, VOTED))}), es -> {plurality}) AS votes", f"{people} AS people", f"{years} AS years")
+
+
+_RANK = f"array({', '.join(repr(s) for s in YEAR_PRIORITY)})"
+#: The winner's value and source of each field after ``voted``.
+WINNERS = {f: (f"votes[{i}].v", f"votes[{i}].s") for i, f in enumerate(VOTED)} | {"authors": ("people.best.raw", "people.best.s"), "year": ("years.y", f"if(years.y IS NULL, NULL, coalesce(get({_RANK}, -years.p - 1), 'consensus'))")}
+
+
+def fused(df: DataFrame) -> DataFrame:
+    """Adds ``fused`` (a record) and ``fused_by`` (a map of field and source) to rows with ``own``, ``at`` and ``top``: the
+    votes of the best cluster; its agreed DOI; a single page widened by the longest range of the cluster that starts
+    with it."""
+    rows = voted(df.withColumn("ms", F.expr("filter(own, (m, i) -> at[i] = top.cluster)")), "ms")
+    page = F.expr(WINNERS["pages"][0])
+    rows = rows.withColumn("start", F.when(pages_richness(page) == 1, first_number(page)))
+    rows = rows.withColumn("span", F.expr("array_max(transform(filter(ms, m -> m.rich = 2 AND m.start = start), m -> named_struct('z', length(m.c.pages), 'o', -m.o, 'r', m.c.pages, 's', m.s)))"))
+    value = {f: v for f, (v, _) in WINNERS.items()} | {"doi": f"coalesce(top.agreed, {WINNERS['doi'][0]})", "pages": f"coalesce(span.r, {WINNERS['pages'][0]})"}
+    by = {f: s for f, (_, s) in WINNERS.items()} | {"doi": f"if(top.agreed IS NOT NULL, 'doi-agreement', {WINNERS['doi'][1]})", "pages": f"coalesce(span.s, {WINNERS['pages'][1]})"}
+    entries = ", ".join(f"if({value[f]} IS NOT NULL, struct('{f}' AS k, {by[f]} AS v), NULL)" for f in FIELDS)
+    struct = f"cast(named_struct({', '.join(f"'{f}', {value[f]}" for f in FIELDS)}) AS {RECORD})"
+    keep = [c for c in df.columns if c not in ("at",)]
+    return rows.selectExpr(*keep, f"if(top IS NULL, NULL, transform(array({struct}), r -> r)[0]) AS fused", f"map_from_entries(array_compact(array({entries}))) AS fused_by")
+
+
+def cluster_titles(cands: DataFrame, mode: str = "jaccard") -> DataFrame:
+    """(ref_id, cand_ord, cluster) of ``numbered``."""
+    rows = numbered(gathered(cands, mode=mode), mode)
+    return rows.select("ref_id", F.explode(F.arrays_zip(F.expr("transform(own, m -> m.o) AS cand_ord"), F.col("at"))).alias("z")).select("ref_id", F.col("z.cand_ord"), F.col("z.at").alias("cluster"))
 
 
 def _cluster_by_pairs(cands: DataFrame, mode: str) -> DataFrame:
@@ -88,20 +174,10 @@ def _top(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
-def agreed_dois(cands: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, doi): the most frequent DOI of a group, if two candidates or a trusted source hold it."""
-    own = cands.select(*keys, "cand_ord", doi_key("doi").alias("agreed"), is_trusted(F.col("source")).alias("sure")).where("agreed is not null")
-    counts = own.groupBy(*keys, "agreed").agg(F.count("*").alias("n"), F.min("cand_ord").alias("first"), F.bool_or("sure").alias("sure"))
-    return _top(counts, keys, F.desc("n"), F.asc("first")).where("n >= 2 or sure").select(*keys, "agreed")
-
-
-def top_clusters(clustered: DataFrame) -> DataFrame:
-    """(ref_id, cluster, score): each reference's best cluster: 100 for an agreed DOI, else the sum of vote weights."""
-    keys = ["ref_id", "cluster"]
-    sums = clustered.groupBy(*keys).agg(F.sum(vote_weight(F.col("source"))).alias("weight"), F.min("cand_ord").alias("first"))
-    score = F.when(F.col("agreed").isNotNull(), F.lit(100)).otherwise(F.col("weight")).cast("decimal(10,2)")
-    ranked = sums.join(agreed_dois(clustered, keys), keys, "left").withColumn("score", score)
-    return _top(ranked, ["ref_id"], F.desc("score"), F.asc("first")).select(*keys, "score", "agreed")
+def top_clusters(cands: DataFrame, mode: str = "jaccard") -> DataFrame:
+    """(ref_id, cluster, score, agreed): each reference's best cluster, by ``ranked``."""
+    rows = ranked(numbered(gathered(cands, mode=mode), mode))
+    return rows.select("ref_id", "top.cluster", "top.score", "top.agreed")
 
 
 def vote_fields(cands: DataFrame, keys: list[str], fields: list[str] = VOTED) -> DataFrame:
@@ -152,32 +228,8 @@ def longest_ranges(cands: DataFrame, keys: list[str]) -> DataFrame:
 
 def consensus(cands: DataFrame, as_of_year: int = 2025, mode: str = "jaccard") -> DataFrame:
     """(ref_id, record fields, provenance map): the fused record of each reference's best cluster."""
-    cands = with_fields(cands)
-    clustered = cands.join(cluster_titles(cands, mode), ["ref_id", "cand_ord"])
-    tops = top_clusters(clustered)
-    own = clustered.join(tops.select("ref_id", "cluster"), ["ref_id", "cluster"], "left_semi").drop("cluster")
-    keys = ["ref_id"]
-    votes = vote_fields(own, keys)
-    pivot = votes.groupBy("ref_id").agg(*pivoted(VOTED), F.expr("map_from_entries(collect_list(struct(field, source)))").alias("by"))
-    people = vote_authors(own, keys).select("ref_id", "authors", F.col("source").alias("authors_by"))
-    years = best_years(own, keys, as_of_year).select("ref_id", "year", F.col("source").alias("year_by"))
-    ranges = longest_ranges(own, keys)
-    out = tops.select("ref_id", "agreed").join(pivot, "ref_id", "left").join(people, "ref_id", "left").join(years, "ref_id", "left")
-    single = pages_richness("pages") == 1
-    out = out.withColumn("start", F.when(single, first_number("pages"))).join(ranges, ["ref_id", "start"], "left")
-    out = out.withColumn("doi", F.coalesce("agreed", "doi"))
-    own_by = F.map_filter(F.coalesce("by", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("doi", "pages"))
-    more = F.filter(
-        F.array(
-            F.struct(F.lit("doi").alias("k"), F.when(F.col("agreed").isNotNull(), "doi-agreement").otherwise(F.col("by")["doi"]).alias("v")),
-            F.struct(F.lit("pages").alias("k"), F.coalesce("range_source", F.col("by")["pages"]).alias("v")),
-            F.struct(F.lit("authors").alias("k"), F.col("authors_by").alias("v")),
-            F.struct(F.lit("year").alias("k"), F.col("year_by").alias("v")),
-        ),
-        lambda p: p["v"].isNotNull(),
-    )
-    out = out.withColumn("pages", F.coalesce("range", "pages")).withColumn("provenance", F.map_concat(own_by, F.map_from_entries(more)))
-    return out.select("ref_id", *FIELDS, "provenance")
+    rows = fused(ranked(numbered(gathered(cands, as_of_year, mode), mode)))
+    return rows.select("ref_id", "fused.*", F.col("fused_by").alias("provenance"))
 
 
 def with_matching(df: DataFrame, mode: str = "jaccard") -> DataFrame:
@@ -201,14 +253,13 @@ def select_best(refs: DataFrame, cands: DataFrame, as_of_year: int = 2025, mode:
     """(ref_id, ex, best, matching, provenance, trusted): the consensus where its DOI is the reference's own; else the
     best-scored candidate, or the one with the nearest title (0.95), if trustworthy; else no best record."""
     refs, cands = with_fields(refs), with_fields(cands)
-    ex = refs.select("ref_id", record(refs).alias("ex"))
-    rows = prepared(cands.select("ref_id", "cand_ord", "source", record(cands).alias("c")), "c", "b", mode)
-    rows = compared(rows.join(prepared(ex, "ex", "a", mode).drop("ex"), "ref_id"), mode)
-    pick = lambda by: F.max_by(F.struct("c", "source", "sure", "near"), F.struct(F.col(by), -F.col("cand_ord")))
-    picks = rows.groupBy("ref_id").agg(pick("score").alias("scored"), pick("near").alias("titled"))
-    fused = consensus(cands, as_of_year, mode)
-    fused = fused.select("ref_id", record(fused).alias("fused"), F.col("provenance").alias("fused_by"))
-    out = ex.join(fused, "ref_id", "left").join(picks, "ref_id", "left")
+    ex = prepared(refs.select("ref_id", record(refs).alias("ex")), "ex", "a", mode)
+    found = clustered(cands.select("ref_id", "cand_ord", "source", "title", record(cands).alias("c")), mode).drop("title")
+    rows = compared(ex.join(prepared(found, "c", "b", mode), "ref_id", "left"), mode)
+    rows = candidate(rows, as_of_year).withColumn("one", F.when(F.col("cand_ord").isNotNull(), F.struct("c", "source", "sure", "near")))
+    pick = lambda by: F.max_by("one", F.when(F.col("cand_ord").isNotNull(), F.struct(F.col(by), -F.col("cand_ord"))))
+    out = rows.groupBy("ref_id").agg(F.first("ex").alias("ex"), F.array_sort(F.collect_list("m")).alias("own"), pick("score").alias("scored"), pick("near").alias("titled"))
+    out = fused(ranked(numbered(out, mode)))
     by_doi = F.coalesce(doi_key(F.col("fused")["doi"]) == doi_key(F.col("ex")["doi"]), F.lit(False))
     one = F.when(F.col("scored")["sure"], F.col("scored")).when((F.col("titled")["near"] >= NEAREST) & F.col("titled")["sure"], F.col("titled"))
     out = out.select("ref_id", "ex", "fused", "fused_by", by_doi.alias("by_doi"), one.alias("one"))

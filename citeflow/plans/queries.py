@@ -21,12 +21,9 @@ def _text(a: "F.Column") -> "F.Column":
 
 def consensus_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: weighted votes on every field and the best year of each order's candidates, as a journal reference."""
-    cands = fuse.with_fields(candidates(spark, sf_dir))
-    votes = fuse.vote_fields(cands, ["ref_id"])
-    wide = votes.groupBy("ref_id").agg(*fuse.pivoted(fuse.VOTED))
-    years = fuse.best_years(cands, ["ref_id"], AS_OF).select("ref_id", "year", F.col("source").alias("year_source"))
-    people = fuse.vote_authors(cands, ["ref_id"]).select("ref_id", "authors")
-    rows = wide.join(years, "ref_id", "left").join(people, "ref_id", "left")
+    rows = fuse.voted(fuse.gathered(candidates(spark, sf_dir), AS_OF), "own")
+    names = [*fuse.VOTED, "authors", "year"]
+    rows = rows.selectExpr("ref_id", *[f"{fuse.WINNERS[f][0]} AS {f}" for f in names], f"{fuse.WINNERS['year'][1]} AS year_source")
     line = render.format_reference(F.col("r"), F.lit("journal article"))
     rows = rows.withColumn("r", fuse.record(fuse.with_fields(rows)))
     return rows.select("ref_id", "title", "journal_name", "journal_abbrev", "volume", "issue", "pages", "month", "doi", "year", "year_source", line.alias("formatted"))
@@ -56,8 +53,7 @@ def title_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cands = candidates(spark, sf_dir)
-    tops = fuse.top_clusters(cands.join(fuse.cluster_titles(cands), ["ref_id", "cand_ord"]))
+    tops = fuse.top_clusters(candidates(spark, sf_dir))
     return tops.select("ref_id", "cluster", F.col("score").cast("double").alias("score"), F.col("agreed").alias("doi"))
 
 

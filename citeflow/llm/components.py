@@ -76,6 +76,8 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "links"
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError("components did not settle in 99 rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

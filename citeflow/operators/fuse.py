@@ -143,7 +143,8 @@ def fused(df: DataFrame) -> DataFrame:
 
 
 def cluster_titles(cands: DataFrame, mode: str = "jaccard") -> DataFrame:
-    """(ref_id, cand_ord, cluster) of ``numbered``."""
+    """(ref_id, cand_ord, cluster) of ``numbered``, for rows with a title; a source isn't needed."""
+    cands = cands if "source" in cands.columns else cands.withColumn("source", F.lit(None).cast("string"))
     rows = numbered(gathered(cands, mode=mode), mode)
     return rows.select("ref_id", F.explode(F.arrays_zip(F.expr("transform(own, m -> m.o) AS cand_ord"), F.col("at"))).alias("z")).select("ref_id", F.col("z.cand_ord"), F.col("z.at").alias("cluster"))
 

@@ -190,13 +190,15 @@ def listed(x: str) -> str:
 
 
 _ALL_BY = "[" + ", ".join(label(f"p_{f}") + f" || CASE WHEN p_{f} IS NULL THEN NULL ELSE '' END" for f in FILLED) + "]"
-_LINES = ", ".join(f"CASE WHEN {_text('b', f)} IS NOT NULL OR {_text('n', f)} IS NOT NULL THEN '- {f}: ' || coalesce({_text('b', f)}, {_text('n', f)}) || '  (source: ' || {label(f'p_{f}')} || ')' END" for f in FILLED)
+_LINES = ", ".join(f"CASE WHEN {_text('b', f)} IS NOT NULL OR {_text('n', f)} IS NOT NULL THEN '- {f}: ' || coalesce({_text('b', f)}, {_text('n', f)}) || '  (source: ' || {label(f'coalesce(p_{f}, u_{f})')} || ')' END" for f in FILLED)
 SQL["reports"] = f"""{_CTE}{LOGGED}, again AS (SELECT ref_id, matching, {', '.join(f'n_{f} AS e_{f}, b_{f}' for f in FILLED)}, regexp_replace(lower(n_doi), '^(https://doi.org/|doi:)', '') AS e_key FROM fixed),
   {checked('again').replace('asked AS', 'asked2 AS').replace('FROM asked)', 'FROM asked2)').replace('flags AS', 'flags2 AS').replace('FROM flags)', 'FROM flags2)').replace('checked AS', 'checked2 AS').replace('FROM checked)', 'FROM checked2)').replace('verified AS', 'verified2 AS')},
   used AS (SELECT ref_id, {listed(f"list({label('source')})")} AS sources FROM cand GROUP BY ref_id),
-  lines AS (SELECT ref_id, string_agg('- ' || field || ': ' || coalesce(nullif(old, ''), 'MISSING') || ' → ' || coalesce(nullif(new, ''), 'MISSING') || '  (by: ' || {label('"by"')} || ')', chr(10) ORDER BY n) AS corrections FROM log GROUP BY ref_id)
+  audit AS (SELECT ref_id, field, coalesce(arg_max("by", n) FILTER (WHERE step = 'best'), arg_min("by", n)) AS code FROM log GROUP BY ALL),
+  audits AS (SELECT ref_id, {', '.join(f"max(code) FILTER (WHERE field = '{f}') AS u_{f}" for f in FILLED)} FROM audit GROUP BY ref_id),
+  lines AS (SELECT ref_id, string_agg('- ' || field || ': ' || coalesce(nullif(old, ''), 'MISSING') || ' → ' || coalesce(nullif(new, ''), 'MISSING') || '  (by: ' || {label('code')} || ')', chr(10) ORDER BY n) AS corrections FROM log JOIN audit USING (ref_id, field) GROUP BY ref_id)
   SELECT f.ref_id, '- Type detected: journal article' || chr(10) || '- DOI: ' || coalesce(f.b_doi, n_doi, 'Not available') || chr(10) || '- Primary source for DOI: ' || {label('p_doi')} || chr(10) || '- Trusted online match: ' || CASE WHEN trusted THEN 'Yes' ELSE 'No' END || chr(10) || 'Match rationale: '
       || CASE WHEN NOT trusted THEN 'No trusted online match' WHEN p_doi = 'doi-agreement' THEN 'DOI agreement across sources' ELSE 'Strict title/author/venue match from ' || {listed(_ALL_BY)} END || chr(10) || 'Sources searched: ' || coalesce(nullif(sources, ''), 'None') AS overview,
     'Fields matched authoritative sources: ' || coalesce(nullif({listed('f.matching')}, ''), 'None') || chr(10) || 'Fields needing attention: ' || coalesce(nullif({listed('[' + ', '.join(f"CASE WHEN NOT v.ok_{f} THEN '{f}' END" for f in _ROLLUP) + ']')}, ''), 'None') AS fields,
     coalesce(corrections, 'No corrections were needed.') AS corrections, concat_ws(chr(10), {_LINES}) AS provenance
-  FROM fixed f JOIN (SELECT ref_id AS k, COLUMNS('^ok_') FROM verified2) v ON v.k = f.ref_id LEFT JOIN used u ON u.ref_id = f.ref_id LEFT JOIN lines l ON l.ref_id = f.ref_id"""
+  FROM fixed f JOIN (SELECT ref_id AS k, COLUMNS('^ok_') FROM verified2) v ON v.k = f.ref_id LEFT JOIN used u ON u.ref_id = f.ref_id LEFT JOIN lines l ON l.ref_id = f.ref_id LEFT JOIN audits u2 ON u2.ref_id = f.ref_id"""

@@ -216,8 +216,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ref_id",
         render.overview(F.lit("journal article"), ex, best, p, F.col("sources")).alias("overview"),
         render.verification_lines(F.col("matching"), F.col("verification")).alias("fields"),
-        render.correction_lines(F.col("changes")).alias("corrections"),
-        render.provenance_lines(ex, best, p).alias("provenance"),
+        render.correction_lines(F.col("changes"), p).alias("corrections"),
+        render.provenance_lines(ex, best, p, F.col("changes")).alias("provenance"),
     )
 
 

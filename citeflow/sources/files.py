@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import stripped
 
 TEXT_EXTENSIONS = ["txt", "bbl", "tex"]
-ALLOWED = [*TEXT_EXTENSIONS, "docx", "pdf"]
+ALLOWED = [*TEXT_EXTENSIONS, "docx"]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -28,7 +28,7 @@ def route(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ext = extension(F.col("path"))
     rows = files.withColumn("ext", ext).withColumn(
         "reason",
-        F.when(F.col("ext") == "doc", "Legacy .doc is not supported; save as .docx").when(~F.col("ext").isin(ALLOWED), F.concat(F.lit("Unsupported file type: ."), "ext")),
+        F.when(F.col("ext") == "doc", "Legacy .doc is not supported; save as .docx").when(F.col("ext") == "pdf", "Text of .pdf files must be extracted before").when(~F.col("ext").isin(ALLOWED), F.concat(F.lit("Unsupported file type: ."), "ext")),
     )
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
 

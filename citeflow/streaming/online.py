@@ -24,10 +24,16 @@ def drop_repeats_batch(requests: DataFrame, ttl_seconds: int = 3600, tie: str =
     return requests.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > ttl_seconds * 1_000_000)).drop("_gap")
 
 
+def commit(results: DataFrame, batch_id: int, sink: str) -> None:
+    """Write a batch's results as the partition ``batch_id`` of a Parquet table. A batch that runs again, as after a failure
+    between its output and the stream's own log, replaces what it wrote before, so no row is there twice."""
+    results.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+
+
 def resolve_stream(requests: DataFrame, resolve: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Resolve each micro-batch against static catalogs with the batch functions and append the results."""
+    """Resolve each micro-batch against static catalogs with the batch functions into its own partition of ``sink``."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        resolve(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        commit(resolve(batch), batch_id, sink)
 
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -107,3 +107,28 @@ def test_streams(spark, tmp_path):
     assert sorted(r["ref_hash"] for r in got) == ["h1", "h2"] and all(r["done"] for r in got)
     batch = online.drop_repeats_batch(static.withColumn("request_id", F.col("raw")))
     assert sorted(r["raw"] for r in batch.collect()) == ["a", "c"]
+
+
+def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
+    rows = lambda *xs: spark.createDataFrame([(x,) for x in xs], "ref_hash string")
+    sink = f"{tmp_path}/out"
+    online.commit(rows("a", "b"), 0, sink)
+    online.commit(rows("c"), 1, sink)
+    online.commit(rows("a", "b"), 0, sink)
+    assert sorted((r["ref_hash"], r["batch_id"]) for r in spark.read.parquet(sink).collect()) == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_sources_told_by_audit(spark):
+    """A field without provenance is told by its change: the last best record that set it, else the first change."""
+    from citeflow.operators import render
+    from citeflow.schemas import CHANGE, FIELDS, RECORD
+
+    changes = [(1, "suggestion", "title", "a", "b", "verify/llm"), (1, "best", "volume", None, "3", "crossref"), (2, "best", "volume", "3", "4", "pubmed"), (2, "normalize", "month", "Mar", "3", "normalize")]
+    record = {"title": "b", "volume": "4", "month": "3", "issue": "9", "journal_abbrev": "J."}
+    df = spark.createDataFrame([(changes, record, None, {"issue": "openalex"})], f"changes {CHANGE}, ex {RECORD}, best {RECORD}, p map<string,string>")
+    c = F.col
+    got = df.select(render.correction_lines(c("changes"), c("p")).alias("a"), render.provenance_lines(c("ex"), c("best"), c("p"), c("changes"), F.lit("Jrnl.")).alias("b")).first()
+    assert got["a"].split("\n") == ["- title: a → b  (by: LLM suggestion)", "- volume: MISSING → 3  (by: PubMed)", "- volume: 3 → 4  (by: PubMed)", "- month: Mar → 3  (by: Normalization)"]
+    want = {"title": ("b", "LLM suggestion"), "journal_abbrev": ("J.", "Unknown"), "verified_journal_abbrev": ("Jrnl.", "Unknown"), "volume": ("4", "PubMed"), "issue": ("9", "OpenAlex"), "month": ("3", "Normalization")}
+    order = [f for x in FIELDS for f in ([x, "verified_journal_abbrev"] if x == "journal_abbrev" else [x]) if f in want]
+    assert got["b"].split("\n") == [f"- {f}: {want[f][0]}  (source: {want[f][1]})" for f in order]

@@ -89,9 +89,10 @@ def test_docx_and_rejects(spark, tmp_path):
     (tmp_path / "b.docx").write_bytes(b"not a zip")
     (tmp_path / "c.txt").write_bytes(b"caf\xc3\xa9 \xff!")
     (tmp_path / "d.doc").write_bytes(b"x")
+    (tmp_path / "e.pdf").write_bytes(b"%PDF")
     found = files.read_binary(spark, f"file://{tmp_path}")
     ok, bad = files.route(found)
-    assert [r["ext"] for r in bad.collect()] == ["doc"] and ok.count() == 3
+    assert {r["ext"]: r["reason"] for r in bad.collect()} == {"doc": "Legacy .doc is not supported; save as .docx", "pdf": "Text of .pdf files must be extracted before"} and ok.count() == 3
     docx = {r["path"][-6:]: (r["text"], r["error"] is None) for r in files.read_docx(ok).collect()}
     assert docx == {"a.docx": ("One\nTwo", True), "b.docx": (None, False)}
     assert [r["text"] for r in files.read_texts(ok).collect()] == ["café !"]

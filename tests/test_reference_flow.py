@@ -132,3 +132,33 @@ def test_sources_told_by_audit(spark):
     want = {"title": ("b", "LLM suggestion"), "journal_abbrev": ("J.", "Unknown"), "verified_journal_abbrev": ("Jrnl.", "Unknown"), "volume": ("4", "PubMed"), "issue": ("9", "OpenAlex"), "month": ("3", "Normalization")}
     order = [f for x in FIELDS for f in ([x, "verified_journal_abbrev"] if x == "journal_abbrev" else [x]) if f in want]
     assert got["b"].split("\n") == [f"- {f}: {want[f][0]}  (source: {want[f][1]})" for f in order]
+
+
+def test_repeats_are_answered_from_earlier_batches(spark, tmp_path):
+    """Repeats within an hour get the stored result, one after it is resolved anew, and a replayed batch changes nothing."""
+    import json
+
+    hour = lambda h, m=0: f"2024-01-01T{h:02}:{m:02}:00"
+    batches = [
+        [(1, hour(1), "a"), (2, hour(1, 5), "b"), (3, hour(1, 6), "a"), (4, hour(1, 7), None), (5, hour(1, 7), None)],
+        [(6, hour(1, 30), "a"), (7, hour(2, 6), "b"), (8, hour(1, 59), "a")],
+        [(9, hour(2, 10), "a"), (10, hour(2, 50), "b")],
+    ]
+    source, sink, calls = tmp_path / "in", f"{tmp_path}/out", []
+    source.mkdir()
+
+    def resolve(rows):
+        calls.append(sorted(r["request_id"] for r in rows.collect()))
+        return rows.select("request_id", F.concat(F.lit("by "), F.col("request_id").cast("string")).alias("result"))
+
+    stream = spark.readStream.schema("request_id long, ts timestamp, ref_hash string").json(str(source))
+    for n, rows in enumerate(batches):
+        (source / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("request_id", "ts", "ref_hash"), r))) for r in rows))
+        online.answer_stream(stream, resolve, sink, f"{tmp_path}/cp").awaitTermination(60)
+    want = {1: ("by 1", False), 2: ("by 2", False), 3: ("by 1", False), 4: ("by 4", False), 5: ("by 5", False), 6: ("by 1", True), 7: ("by 7", False), 8: ("by 1", True), 9: ("by 9", False), 10: ("by 7", True)}
+    answers = lambda: {r["request_id"]: (r["result"], r["cached"]) for r in spark.read.parquet(sink).collect()}
+    assert answers() == want and calls == [[1, 2, 4, 5], [7], [9]]
+    rows = spark.createDataFrame([(r[0], r[1], r[2]) for r in batches[1]], "request_id long, ts string, ref_hash string").withColumn("ts", F.col("ts").cast("timestamp"))
+    earlier = spark.read.parquet(sink).where("batch_id < 1 and not cached")
+    online.commit(online.answered(rows, earlier, resolve), 1, sink)
+    assert answers() == want and spark.read.parquet(sink).count() == 10

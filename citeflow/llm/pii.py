@@ -15,10 +15,11 @@ ROUNDS = 10
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: What may be personal data, most specific first; none can start or end inside a longer word or number. An address has
-#: at most 64 characters before the @ and 127 labels after it, as the mail and name standards say; so no repetition of
-#: a group is unbounded, which Java's matcher would follow by recursion.
+#: at most 1024 characters before the @ (the mail standard says 64; longer ones are masked as well, but not without bound, as
+#: a name is permuted letter by letter) and 127 labels after it, as the name standard says; so no repetition of a group is
+#: unbounded, which Java's matcher would follow by recursion.
 KINDS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}(?![\w-])",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,1023}+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d)",
     "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",

@@ -297,7 +297,7 @@ def scan_email(t, i):
     if near(t, i - 1, ".%+-") or not (t[i].isascii() and t[i].isalnum()):
         return None
     j = i + 1
-    while j < len(t) and j - i < 64 and t[j].isascii() and (t[j].isalnum() or t[j] in "._%+-"):
+    while j < len(t) and j - i < 1024 and t[j].isascii() and (t[j].isalnum() or t[j] in "._%+-"):
         j += 1
     if t[j : j + 1] != "@":
         return None
@@ -482,3 +482,12 @@ def test_hostile_texts_end_well(spark):
     hostile = ["x a@" + "b." * n + "com y", "a@" + "b-" * n, "1" * n, "a" * n + "@x.org", "a@" + "x." * n, "1.2.3." * n, "4111 " * n, "(555) " * n, "a." * n + "@b.org", "@" * n, "12/" * n]
     got = {r["doc_id"]: r["text"] for r in pii.mask(spark.createDataFrame(list(enumerate(hostile)), "doc_id long, text string"), KEY).collect()}
     assert got == dict(enumerate(hostile))
+
+
+def test_addresses_with_long_names(spark):
+    """Names beyond what mail allows are masked too, in their own shape."""
+    own = ["a" * 65 + "@x.com", "b." * 500 + "c@b.org", "d" * 1024 + "@x.com", "e" * 1025 + "@x.com"]
+    got = [r["text"] for r in pii.mask(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    for old, new in zip(own[:3], got):
+        assert new != old and len(new) == len(old) and [c == "." for c in new] == [c == "." for c in old] and new.partition("@")[1:] == old.partition("@")[1:]
+    assert got[3] == own[3]

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import stripped
+from ..functions.scalars import bound, stripped
 
 # Patterns that segmentation must agree on.
 MARKER = r"^\s*(?:\[\d+\]|\d+\.|[-•])"
@@ -50,18 +50,18 @@ def split_marked(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("part")).alias("pos"), "reference")
 
 
-def fold_marked(ls: Column) -> Column:
-    """The same as an array expression, for short documents (the fold copies its last entry at each line)."""
-    start = F.array().cast("array<string>")
+def cut_marked(ls: Column) -> Column:
+    """The same as an array expression, in linear time: the lines that start a reference are found first, then each
+    reference is one slice."""
 
-    def add(acc: Column, line: Column) -> Column:
-        fresh = is_marker(line) | (F.size(acc) == 0)
-        new = F.when(is_marker(line), strip_marker(line)).otherwise(line)
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), new)))
-        return F.when(fresh, F.concat(acc, F.array(new))).otherwise(grown)
+    def cut(own: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: (i == 1) | is_marker(own[i - 1]))
+        bare = F.transform(own, lambda x: F.when(is_marker(x), strip_marker(x)).otherwise(x))
+        part = lambda texts, at: F.transform(at, lambda s, k: stripped(F.array_join(F.slice(texts, s, F.coalesce(F.get(at, k + 1), F.size(texts) + 1) - s), " ")))
+        return bound(F.struct(bare.alias("texts"), starts.alias("at")), lambda p: F.filter(part(p["texts"], p["at"]), lambda r: r != ""))
 
-    return F.filter(F.transform(F.aggregate(F.filter(ls, lambda x: x != ""), start, add), stripped), lambda r: r != "")
+    own = F.filter(ls, lambda x: x != "")
+    return bound(own, lambda o: F.when(F.size(o) == 0, F.array().cast("array<string>")).otherwise(cut(o)))
 
 
 def paragraphs(t: Column) -> Column:
@@ -95,7 +95,7 @@ def fold_heuristic(t: Column) -> Column:
 def references_of(t: Column) -> Column:
     """A document's references as an array: by markers, else by blank lines, else by cues; none if blank."""
     parts = paragraphs(t)
-    return F.when(stripped(t) == "", F.array().cast("array<string>")).when(has_marker(lines(t)), fold_marked(lines(t))).when(F.size(parts) > 1, parts).otherwise(fold_heuristic(t))
+    return F.when(stripped(t) == "", F.array().cast("array<string>")).when(has_marker(lines(t)), cut_marked(lines(t))).when(F.size(parts) > 1, parts).otherwise(fold_heuristic(t))
 
 
 def split_references(docs: DataFrame) -> DataFrame:

@@ -148,3 +148,16 @@ def test_similarity_and_types(spark):
     assert got["conference_paper"] == 'A. B, "T", in *J*, pp. 3–4, May 2020, https://doi.org/10.1/x.'
     assert got["preprint"] == 'A. B, "T", preprint, May 2020, https://doi.org/10.1/x.'
     assert got["other"] == 'A. B, "T", J, May 2020, vol. 1, no. 2, pp. 3–4, https://doi.org/10.1/x.'
+
+
+def test_a_marked_document_of_very_many_lines(spark):
+    """The array form agrees with the window form, in linear time: 100,000 lines."""
+    import time
+
+    text = "intro\n" + "\n".join(f"[{i}] work {i}\n more of {i}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text), (2, "a\n\n[1] b\n[2]\nc"), (3, "[1]")], "doc_id int, text string")
+    began = time.time()
+    got = sorted(map(tuple, segment.split_references(docs).where("doc_id < 3").collect()))
+    assert time.time() - began < 60
+    want = sorted(map(tuple, segment.split_marked(docs).where("doc_id < 3").collect()))
+    assert got == want and len(got) == 50_001 + 3 and got[1][2] == "work 0 more of 0"

@@ -5,7 +5,9 @@ of 0.8 fingerprints of 64 bits differ in about ten bits, up to sixteen or more,
 100,000 tables. So the pairs beyond the radius are found by their rarest shingles, without loss: shingles have one order
 for all texts, the rarest first. Two sets of similarity ``t`` share at least ``ceil(t n)`` elements, of which the first
 ``k`` are among the first ``n - ceil(t n) + k`` shingles of each. The order only decides how many pairs are compared:
-frequent shingles are found in a sample, and no pair is missed whatever the sample holds.
+frequent shingles are found in a sample, and no pair is missed whatever the sample holds. Members of a large group are
+paired only if enough of their shingles occur outside the group that they are linked to already, which is counted over
+all sets, not over a sample.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key, shuffle_partitions, text_or_empty
+from .common import Scratch, row_key, text_or_empty
 from .components import connected_components
 from .simhash import first_of_each, link_fingerprints, majority, signed
 
@@ -59,9 +61,9 @@ def prefix_length(n: int, at_least: float) -> int:
     return min(n, n - math.ceil(at_least * n - 1e-9) + shared_first(n))
 
 
-def _node(own: np.ndarray) -> int:
-    """A name for a set of shingles: texts with equal sets have one."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
+def _digest(own: np.ndarray) -> bytes:
+    """128 bits that name a set of shingles: texts with equal sets have one name."""
+    return xxhash.xxh3_128_digest(own.tobytes())
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -70,11 +72,11 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _prefixes(words: int, at_least: float, common: np.ndarray, counts: np.ndarray):
-    """Adds each text's node, size, fingerprint and first shingles; ``common`` (sorted) are the frequent ones."""
+    """Adds the digest of each text's set, its size, fingerprint and first shingles; ``common`` (sorted) are the frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prints, firsts = [], [], [], []
+            digests, sizes, prints, firsts = [], [], [], []
             for t in batch.column(batch.num_columns - 1):
                 every = hashed(t.as_py(), words)
                 prints.append(signed(majority(every)))
@@ -83,57 +85,30 @@ def _prefixes(words: int, at_least: float, common: np.ndarray, counts: np.ndarra
                 if len(common):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     often = np.where(common[at] == own, counts[at], 0)
-                nodes.append(_node(own))
+                digests.append(_digest(own))
                 sizes.append(len(own))
                 firsts.append(own[np.lexsort((own, often))][: prefix_length(len(own), at_least)])
-            added = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), _lists(firsts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*batch.schema.names[:-1], "node", "n", "fp", "first"])
+            added = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), _lists(firsts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*batch.schema.names[:-1], "digest", "n", "fp", "first"])
 
     return run
 
 
 def _sets(words: int):
+    """Rows (node, text) -> (node, own), the set of each text's shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingles(t.as_py(), words) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(o) for o in own], pa.int64()), _lists(own)], ["node", "own"])
+            own = [shingles(t.as_py(), words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own)], ["node", "own"])
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over entries (h, node, n, at) sorted by shingle and node: those that share a shingle with another node, one entry
-    a node. A group may run over any number of batches."""
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    last = None  # the row before, and whether it is out already
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = last is not None
-        if held:
-            cols = [np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, cols)]
-        h, node = cols[:2]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
-        cols = [c[new] for c in cols]
-        h = cols[0]
-        start = np.concatenate([[True], h[1:] != h[:-1]])
-        more = ~start
-        more[:-1] |= ~start[1:]
-        out_before = held and last[4]
-        if out_before:
-            more[0] = False
-        done = bool(more[-1]) or (len(h) == 1 and bool(out_before))
-        last = (*(c[-1] for c in cols), done)
-        if more.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[more], t) for c, t in zip(cols, types)], ["h", "node", "n", "at"])
-
-
 def _frequent(texts: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur in several documents of a sample, and in how many; of bounded number."""
     every = max(1, texts.count() // sample)
-    some = texts.where(F.pmod("mark", F.lit(every)) == 0).select("text").mapInArrow(_sets(words), "node long, own array<long>")
+    some = texts.where(F.pmod("mark", F.lit(every)) == 0).select("mark", "text").mapInArrow(_sets(words), "node long, own array<long>")
     counted = some.select(F.explode("own").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     found = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow().sort_by("h")
     return found["h"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
@@ -167,9 +142,19 @@ def _with_usable(met: DataFrame, at_least: float) -> DataFrame:
     return met.join(usable.select("node", "usable"), "node")
 
 
+def _usable_outside(nodes: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
+    """(node, outside): how many shingles of each of ``nodes`` (node, root, n) are in a node of another root too, which is
+    the most that it can share with any of them. Nodes that have too few for any partner are left out: the strays of a
+    large group, whose own changes are nowhere else."""
+    own = sets.join(nodes, "node").select("node", "root", "n", F.explode("own").alias("h"))
+    mixed = own.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    outside = own.join(mixed, "h").groupBy("node", "n").agg(F.count("*").alias("outside"))
+    return outside.where(F.col("outside") >= F.lit(at_least) * F.col("n") - 1e-9).select("node", "outside")
+
+
 def _pairs_within_radius(table: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): nodes with the first node of their fingerprint's component, by covering masks."""
-    nodes = table.select("fp", "node").distinct()
+    nodes = table.select("fp", "node")
     fps = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "fingerprints")
     roots = link_fingerprints(fps.select("fp"), scratch)
     leads = fps.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -178,31 +163,36 @@ def _pairs_within_radius(table: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def labelled(docs: DataFrame, words: int = WORDS, at_least: float = AT_LEAST, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, ident, mark (see ``row_key``), node and root, one for each component of documents whose shingles have
+    """doc_id, ident, mark (see ``row_key``) and root, one for each component of documents whose shingles have
     a Jaccard similarity of ``at_least``. Texts without words (nulls too) count as equal; repeated rows get a row each;
     an empty table gives no rows. A text is hashed whole, with some 20 bytes for each of its shingles."""
     scratch = Scratch(docs.sparkSession)
-    n = shuffle_partitions(docs.sparkSession)
     ident, mark = row_key()
     texts = docs.select("doc_id", ident.alias("ident"), mark.alias("mark"), text_or_empty().cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     run = _prefixes(words, at_least, *_frequent(texts, words, sample))
-    wide = scratch.keep(texts.mapInArrow(run, f"doc_id {kind}, ident string, mark long, node long, n int, fp long, first array<long>"), "prefixes")
+    wide = scratch.keep(texts.mapInArrow(run, f"doc_id {kind}, ident string, mark long, digest binary, n int, fp long, first array<long>"), "prefixes")
 
-    entries = wide.select("node", "n", F.posexplode("first").alias("at", "h")).select("h", "node", "n", (F.col("at") + 1).alias("at"))
-    placed = entries.repartition(n, "h").sortWithinPartitions("h", "node")
-    met = scratch.keep(placed.mapInArrow(_met, "h long, node long, n int, at int"), "met")
-    table = scratch.keep(wide.drop("first"), "nodes")
+    rows = scratch.keep(wide.select("doc_id", "ident", "mark", "digest"), "rows")
+    # one node for each set, named by its place in a written table
+    nodes = wide.groupBy("digest").agg(F.min(F.struct("ident", "mark", "n", "fp", "first")).alias("k"))
+    nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "k.*"), "nodes")
     scratch.drop("prefixes")
+    entries = nodes.select("node", "n", F.posexplode("first").alias("at", "h")).select("h", "node", "n", (F.col("at") + 1).alias("at"))
+    shared = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    met = scratch.keep(entries.join(shared, "h"), "met")
     met = scratch.keep(_with_usable(met, at_least), "usable")
     scratch.drop("met")
 
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        keys = nodes.join(wanted, "node", "left_semi").select("node", "ident", "mark")
+        found = texts.join(keys, ["ident", "mark"]).select("node", "text").mapInArrow(_sets(words), "node long, own array<long>")
+        return scratch.keep(found.dropDuplicates(["node"]), f"{name}-sets")
+
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("ident", "mark")).alias("k")).select("k.*")
-        sets = texts.join(wanted, ["ident", "mark"], "left_semi").select("text").mapInArrow(_sets(words), "node long, own array<long>")
-        links = scratch.keep(_similar(pairs, scratch.keep(sets.dropDuplicates(["node"]), f"{name}-sets"), at_least), name)
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        links = scratch.keep(_similar(pairs, sets_of(ends, name), at_least), name)
         scratch.drop(f"{name}-sets")
         return links
 
@@ -212,14 +202,17 @@ def labelled(docs: DataFrame, words: int = WORDS, at_least: float = AT_LEAST, sa
     to_hub = met.join(hubs, "h").where("node <> hub.node").where(_may_share(F.col("n"), F.col("hub.n"), F.col("usable"), F.col("hub.usable"), at_least))
     stars = to_hub.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b"), "n", F.col("hub.n").alias("m")).agg(F.count("*").alias("c"))
     stars = stars.where(F.col("c") >= F.least(_first_shared(F.col("n")), _first_shared(F.col("m"))))
-    links = similar(stars.select("a", "b").unionAll(_pairs_within_radius(table, scratch)), "near")
+    links = similar(stars.select("a", "b").unionAll(_pairs_within_radius(nodes, scratch)), "near")
     roots = scratch.keep(connected_components(links, scratch, "first"), "roots")
-    # Then every other pair that can share enough and is not linked yet. What sets of n and m must share decides among how
-    # many of the first shingles of each one is common.
+    # Then every other pair that can share enough and is not linked yet, by what each has outside its own group. What sets
+    # of n and m must share decides among how many of the first shingles of each one is common.
     known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     open_ = scratch.keep(known.join(mixed, "h", "left_semi"), "open")
     scratch.drop("usable")
+    strays = open_.select("node", "root", "n").distinct()
+    outside = _usable_outside(strays, sets_of(strays.select("node"), "open"), at_least)
+    open_ = scratch.keep(open_.join(outside, "node").withColumn("usable", F.least("usable", "outside")), "outside")
     x, y = open_.alias("x"), open_.alias("y")
     fits = _may_share(F.col("x.n"), F.col("y.n"), F.col("x.usable"), F.col("y.usable"), at_least)
     need = F.ceil(_least_overlap(F.col("x.n"), F.col("y.n"), at_least))
@@ -228,9 +221,9 @@ def labelled(docs: DataFrame, words: int = WORDS, at_least: float = AT_LEAST, sa
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     more = similar(pairs, "rest")
     roots = connected_components(links.unionAll(more), scratch, "all")
-    out = table.select("doc_id", "ident", "mark", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    out = scratch.keep(out, "labelled")
-    for name in ("nodes", "open", "near", "near-pairs", "rest", "rest-pairs", "roots"):
+    named = scratch.keep(nodes.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "named")
+    out = scratch.keep(rows.join(named, "digest").select("doc_id", "ident", "mark", "root"), "labelled")
+    for name in ("rows", "nodes", "open", "open-sets", "outside", "near", "near-pairs", "rest", "rest-pairs", "roots", "named"):
         scratch.drop(name)
     return out
 

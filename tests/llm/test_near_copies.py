@@ -54,20 +54,6 @@ def test_stage_links_every_pair_of_that_similarity(spark, sf_dir):
     assert set(few) == want
 
 
-def test_groups_over_many_batches():
-    """Groups that run over the ends of batches meet as in one batch."""
-    import pyarrow as pa
-
-    r = random.Random(8)
-    rows = sorted((r.randrange(12), r.randrange(9), 5, 1) for _ in range(80))
-    want = sorted({(h, v) for h, v, *_ in rows if len({w for g, w, *_ in rows if g == h}) > 1})
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    for step in (1, 2, 3, 7, 80):
-        parts = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + step]), types)], ["h", "node", "n", "at"]) for i in range(0, 80, step)]
-        got = [(x["h"], x["node"]) for b in near_copies._met(iter(parts)) for x in b.to_pylist()]
-        assert sorted(got) == want
-
-
 def test_a_large_group_of_near_copies(spark):
     """Copies of one text with more and more changes, chains of copies, and a passage that all texts share."""
     r = random.Random(9)

@@ -31,6 +31,8 @@ WORDS, SEED, AT_LEAST = 5, 42, 0.8
 SAMPLE, FREQUENT = 40_000, 500_000
 #: How many of their first shingles a pair must share to be compared: a tenth of a set, up to this.
 SHARED = 8
+#: Nodes that meet on a shingle of up to so many are paired as they are; those of larger crowds must have enough in common first.
+CROWD = 64
 
 
 def hashed(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -142,14 +144,13 @@ def _with_usable(met: DataFrame, at_least: float) -> DataFrame:
     return met.join(usable.select("node", "usable"), "node")
 
 
-def _usable_outside(nodes: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
-    """(node, outside): how many shingles of each of ``nodes`` (node, root, n) are in a node of another root too, which is
-    the most that it can share with any of them. Nodes that have too few for any partner are left out: the strays of a
-    large group, whose own changes are nowhere else."""
-    own = sets.join(nodes, "node").select("node", "root", "n", F.explode("own").alias("h"))
+def _usable_outside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, outside): how many shingles of each of ``nodes`` (node, root) are in a node of another root too, which is the
+    most that it can share with any of them. The strays of a large group, whose own changes are nowhere else, have few."""
+    own = sets.join(nodes, "node").select("node", "root", F.explode("own").alias("h"))
     mixed = own.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    outside = own.join(mixed, "h").groupBy("node", "n").agg(F.count("*").alias("outside"))
-    return outside.where(F.col("outside") >= F.lit(at_least) * F.col("n") - 1e-9).select("node", "outside")
+    outside = own.join(mixed, "h").groupBy("node").agg(F.count("*").alias("outside"))
+    return nodes.select("node").join(outside, "node", "left").select("node", F.coalesce("outside", F.lit(0)).alias("outside"))
 
 
 def _pairs_within_radius(table: DataFrame, scratch: Scratch) -> DataFrame:
@@ -186,8 +187,8 @@ def labelled(docs: DataFrame, words: int = WORDS, at_least: float = AT_LEAST, sa
 
     def sets_of(wanted: DataFrame, name: str) -> DataFrame:
         keys = nodes.join(wanted, "node", "left_semi").select("node", "ident", "mark")
-        found = texts.join(keys, ["ident", "mark"]).select("node", "text").mapInArrow(_sets(words), "node long, own array<long>")
-        return scratch.keep(found.dropDuplicates(["node"]), f"{name}-sets")
+        found = texts.select("ident", "mark", "text").join(keys, ["ident", "mark"]).dropDuplicates(["ident", "mark"]).select("node", "text")
+        return scratch.keep(found.mapInArrow(_sets(words), "node long, own array<long>"), f"{name}-sets")
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
@@ -204,17 +205,21 @@ def labelled(docs: DataFrame, words: int = WORDS, at_least: float = AT_LEAST, sa
     stars = stars.where(F.col("c") >= F.least(_first_shared(F.col("n")), _first_shared(F.col("m"))))
     links = similar(stars.select("a", "b").unionAll(_pairs_within_radius(nodes, scratch)), "near")
     roots = scratch.keep(connected_components(links, scratch, "first"), "roots")
-    # Then every other pair that can share enough and is not linked yet, by what each has outside its own group. What sets
-    # of n and m must share decides among how many of the first shingles of each one is common.
+    # Then every other pair that can share enough and is not linked yet; of nodes in crowds, by what they share outside
+    # their own groups. What sets of n and m must share decides among how many of the first shingles of each one is common.
     known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     open_ = scratch.keep(known.join(mixed, "h", "left_semi"), "open")
     scratch.drop("usable")
-    strays = open_.select("node", "root", "n").distinct()
-    outside = _usable_outside(strays, sets_of(strays.select("node"), "open"), at_least)
-    open_ = scratch.keep(open_.join(outside, "node").withColumn("usable", F.least("usable", "outside")), "outside")
+    crowds = open_.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("h", F.lit(True).alias("crowded"))
+    open_ = scratch.keep(open_.join(crowds, "h", "left"), "crowds")
+    strays = open_.where("crowded").select("node", "root").distinct()
+    open_ = open_.join(_usable_outside(strays, sets_of(strays.select("node"), "open")), "node", "left")
+    enough = F.col("crowded").isNull() | (F.col("outside") >= F.lit(at_least) * F.col("n") - 1e-9)  # all of a crowd have a count
+    open_ = scratch.keep(open_.where(enough), "outside")
     x, y = open_.alias("x"), open_.alias("y")
     fits = _may_share(F.col("x.n"), F.col("y.n"), F.col("x.usable"), F.col("y.usable"), at_least)
+    fits &= F.isnull("x.outside") | F.isnull("y.outside") | (F.least("x.outside", "y.outside") >= _least_overlap(F.col("x.n"), F.col("y.n"), at_least))
     need = F.ceil(_least_overlap(F.col("x.n"), F.col("y.n"), at_least))
     early = (F.col("x.at") <= F.col("x.n") - need + 1) & (F.col("y.at") <= F.col("y.n") - need + 1)
     pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits & early)
@@ -223,7 +228,7 @@ def labelled(docs: DataFrame, words: int = WORDS, at_least: float = AT_LEAST, sa
     roots = connected_components(links.unionAll(more), scratch, "all")
     named = scratch.keep(nodes.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "named")
     out = scratch.keep(rows.join(named, "digest").select("doc_id", "ident", "mark", "root"), "labelled")
-    for name in ("rows", "nodes", "open", "open-sets", "outside", "near", "near-pairs", "rest", "rest-pairs", "roots", "named"):
+    for name in ("rows", "nodes", "open", "crowds", "open-sets", "outside", "near", "near-pairs", "rest", "rest-pairs", "roots", "named"):
         scratch.drop(name)
     return out
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline
+import pytest
 from citeflow.llm import near_copies
 
 
@@ -54,8 +55,10 @@ def test_stage_links_every_pair_of_that_similarity(spark, sf_dir):
     assert set(few) == want
 
 
-def test_a_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("crowd", [3, 64])
+def test_a_large_group_of_near_copies(spark, monkeypatch, crowd):
     """Copies of one text with more and more changes, chains of copies, and a passage that all texts share."""
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
     r = random.Random(9)
     passage, base = [f"p{i}" for i in range(12)], [f"b{i}" for i in range(90)]
     docs = [(i, " ".join(edited(r, base, r.randint(0, 9)))) for i in range(150)]

@@ -347,6 +347,7 @@ def final_line(s: Column) -> Column:
 
 def sanitised(s: Column) -> Column:
     """A recorded line with stray spaces and page lists put right."""
+    # The patterns and their order, as results must agree.
     out = F.regexp_replace(F.regexp_replace(s, r"\s+,", ","), r"\s+\.", ".")
     out = F.regexp_replace(out, r"\bpp\.\s*(?=[,.](?:\s|$))", "")
     return text(F.regexp_replace(out, r"\bpp\.\s*(\d+)[\s,]+(\d+)", "pp. $1–$2"))

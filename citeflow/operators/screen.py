@@ -23,7 +23,7 @@ def check_retractions(titles: DataFrame, works: DataFrame, k: int = 5, at_least:
     """(ref_id, is_retracted, reason, title, update_dois): the first of a title's ``k`` nearest works that bears a
     retraction mark. ``works`` has cand_key, title, doi_key, relation and update_to."""
     catalog = works.withColumn("source", F.lit("crossref"))
-    hits = by_title(titles, catalog, at_least, k).where("variant = 0")
+    hits = by_title(titles, catalog, at_least, k, variants=False)
     marked = hits.withColumn("reason", retraction_mark(F.col("relation"), F.col("update_to"))).where("reason is not null")
     dois = F.array_join(F.transform("update_to", lambda u: F.coalesce(u["DOI"], F.lit("unknown"))), ", ")
     first = marked.groupBy("ref_id").agg(F.min_by(F.struct("reason", "title", F.when(F.col("reason") == "update-to", dois).alias("update_dois")), "rank").alias("m"))
@@ -33,7 +33,7 @@ def check_retractions(titles: DataFrame, works: DataFrame, k: int = 5, at_least:
 def retracted_only(titles: DataFrame, works: DataFrame, **how) -> DataFrame:
     """The variant that filters the catalog first: (ref_id, titles) of references that any retracted work is near."""
     bad = works.where(retraction_mark(F.col("relation"), F.col("update_to")).isNotNull()).withColumn("source", F.lit("crossref"))
-    hits = by_title(titles, bad, k=5, **how).where("variant = 0")
+    hits = by_title(titles, bad, k=5, variants=False, **how)
     return hits.groupBy("ref_id").agg(F.array_join(F.array_sort(F.collect_set("title")), "; ").alias("titles"))
 
 

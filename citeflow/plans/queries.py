@@ -311,14 +311,23 @@ def _first_line(text: str = "text") -> "F.Column":
     return F.trim(F.split(text, "\n")[0])
 
 
-def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's first line against all documents' first lines as titles, each variant's best five."""
+def _first_lines_found(spark: SparkSession, sf_dir: str, *how, **more) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     works = docs.select(F.col("doc_id").cast("string").alias("cand_key"), F.lit("crossref").alias("source"), _first_line().alias("title"), F.lit(None).cast("string").alias("doi_key"))
-    got = lookup.by_title(docs.select(F.col("doc_id").alias("ref_id"), _first_line().alias("title")), works)
+    got = lookup.by_title(docs.select(F.col("doc_id").alias("ref_id"), _first_line().alias("title")), works, *how, **more)
     return got.select("ref_id", "variant", "source", "cand_key", "sim", "rank")
 
 
+def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's first line against all documents' first lines as titles, each variant's best five."""
+    return _first_lines_found(spark, sf_dir)
+
+
+def title_lookup_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in token-sort mode, by the edits between the sorted words: all pairs of 0.9 or more."""
+    return _first_lines_found(spark, sf_dir, 0.9, mode="token_sort")
+
+
 def gathered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOI and arXiv finds in order, then one per source and DOI or title."""
     refs, strings, catalog = references(spark, sf_dir), parsed_references(spark, sf_dir), _catalog(spark, sf_dir)
@@ -460,7 +469,7 @@ ALL = [
     selected_best, reconciled_types, enriched, verification, loop_guards, input_validation, journal_abbreviations, corrections, change_log, patches, repair_loop,
     formatted_by_type, csl_exports, bibtex_exports, recorded_lines, reports, evidence, scalar_text, scalar_authors, scalar_pages, scalar_dates, scalar_ids,
     source_weights, fingerprints, parsed_references, marked_references, paragraph_references, split_documents, extracted_references, doi_lookup, arxiv_lookup,
-    title_lookup, gathered_candidates, recorded_outputs, routed_files, concatenated_texts, normalised_catalogs, feed_entries, retraction_checks, retracted_titles,
+    title_lookup, title_lookup_sorted, gathered_candidates, recorded_outputs, routed_files, concatenated_texts, normalised_catalogs, feed_entries, retraction_checks, retracted_titles,
     screened_documents, retraction_split, retraction_notices, numbered_lines, batch_summary, batch_preview, batch_documents, result_rows, fresh_requests,
 ]
 

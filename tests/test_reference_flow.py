@@ -72,6 +72,41 @@ def test_lookup_by_title_equals_brute_force(spark):
     assert [x["cand_key"] for x in near] == ["x1"]
 
 
+def test_lookup_by_sorted_words_equals_brute_force(spark):
+    """Every pair of the similarity, at every level of grams: typos in most words, short and long titles, repeated words,
+    letters beyond the basic plane, titles of one letter, blank ones."""
+    from citeflow.functions.similarity import common_subsequence
+
+    r = random.Random(5)
+    letters = "aeinorst"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
+    title = lambda n: " ".join(word() for _ in range(n))
+
+    def typos(s: str, share: float) -> str:
+        out = []
+        for c in s:
+            x = r.random()
+            out.append("" if x < share / 2 else c + r.choice(letters) if x < share else c)
+        return "".join(out)
+
+    base = [title(r.choice((1, 2, 4, 8, 20))) for _ in range(70)] + ["a", "b", "", " ", "a a a b", "𝔸𝔹ℂ𝔻 ééé", "ab " * 120]
+    left = [(i, t) for i, t in enumerate(base)] + [(len(base), None)]
+    right = [(f"c{i}", typos(r.choice(base), r.choice((0, 0.05, 0.1, 0.2, 0.4)))) for i in range(150)] + [(f"d{i}", t) for i, t in enumerate(base)]
+    refs = spark.createDataFrame(left, "ref_id int, title string")
+    works = spark.createDataFrame([(k, t, "crossref", None) for k, t in right], "cand_key string, title string, source string, doi_key string")
+    line = lambda s: " ".join(sorted((s or "").split()))
+    for at_least in (0.6, 0.75, 0.85, 0.95, 1.0):
+        got = {(x["ref_id"], x["cand_key"]): x["sim"] for x in lookup.by_title(refs, works, at_least, k=1000, mode="token_sort", variants=False).collect()}
+        want = {}
+        for i, t in left:
+            for k, u in right:
+                a, b = line(t), line(u)
+                sim = 2 * common_subsequence(a, b) / (len(a) + len(b)) if a and b else 0.0
+                if sim >= at_least - 1e-9:
+                    want[i, k] = round(sim, 6)
+        assert got == want and len(want) > 70
+
+
 def test_votes_go_to_the_first_seen(spark):
     rows = [(1, 1, "arxiv", "B"), (1, 2, "pubmed", "A"), (1, 3, "other", "B"), (1, 4, "other", None)]
     df = fuse.with_fields(spark.createDataFrame(rows, "ref_id int, cand_ord int, source string, title string"))

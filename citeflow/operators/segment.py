@@ -50,6 +50,12 @@ def split_marked(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("part")).alias("pos"), "reference")
 
 
+def _sliced(texts: Column, starts: Column) -> Column:
+    """A reference from each start to the next, those that aren't blank."""
+    part = lambda s, k: stripped(F.array_join(F.slice(texts, s, F.coalesce(F.get(starts, k + 1), F.size(texts) + 1) - s), " "))
+    return F.filter(F.transform(starts, part), lambda r: r != "")
+
+
 def cut_marked(ls: Column) -> Column:
     """The same as an array expression, in linear time: the lines that start a reference are found first, then each
     reference is one slice."""
@@ -57,8 +63,7 @@ def cut_marked(ls: Column) -> Column:
     def cut(own: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: (i == 1) | is_marker(own[i - 1]))
         bare = F.transform(own, lambda x: F.when(is_marker(x), strip_marker(x)).otherwise(x))
-        part = lambda texts, at: F.transform(at, lambda s, k: stripped(F.array_join(F.slice(texts, s, F.coalesce(F.get(at, k + 1), F.size(texts) + 1) - s), " ")))
-        return bound(F.struct(bare.alias("texts"), starts.alias("at")), lambda p: F.filter(part(p["texts"], p["at"]), lambda r: r != ""))
+        return bound(F.struct(bare.alias("texts"), starts.alias("at")), lambda p: _sliced(p["texts"], p["at"]))
 
     own = F.filter(ls, lambda x: x != "")
     return bound(own, lambda o: F.when(F.size(o) == 0, F.array().cast("array<string>")).otherwise(cut(o)))
@@ -73,29 +78,34 @@ def looks_new(line: Column) -> Column:
     return line.rlike(AUTHOR_LIKE) | ((F.length(line) < 140) & F.endswith(line, F.lit("."))) | line.rlike(VENUE_LIKE)
 
 
-def fold_heuristic(t: Column) -> Column:
+def cut_by_cues(t: Column) -> Column:
     """One block of text: a new reference where a line may start one and the last two lines of the current one hold a
-    DOI, URL or year."""
+    DOI, URL or year. In linear time: each line is looked at once and each reference is one slice.
+
+    No fold is needed to know which line starts a reference. If the line before holds a key, a line that may start one
+    does. Else it takes a key in the line before that, in the same reference: the line between must not have started one,
+    and as a key stands before it, it did so just if it may.
+    """
     own = F.filter(lines(t), lambda x: x != "")
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), empty.alias("cur"))
 
-    def add(acc: Column, line: Column) -> Column:
-        cur = acc["cur"]
-        before = F.array_join(F.slice(cur, F.greatest(F.size(cur) - 1, F.lit(1)), F.lit(2)), " ")
-        cut = (F.size(cur) > 0) & looks_new(line) & before.rlike(KEY)
-        done = F.concat(acc["done"], F.array(stripped(F.array_join(cur, " "))))
-        return F.struct(F.when(cut, done).otherwise(acc["done"]).alias("done"), F.when(cut, F.array(line)).otherwise(F.concat(cur, F.array(line))).alias("cur"))
+    def starts(marks: Column) -> Column:
+        new, key = (lambda i: F.get(marks, i - 1)["new"]), (lambda i: F.get(marks, i - 1)["key"])
+        begins = lambda i: new(i) & (key(i - 1) | ((i > 2) & key(i - 2) & ~new(i - 1)))
+        return F.filter(F.sequence(F.lit(1), F.size(marks)), lambda i: (i == 1) | F.coalesce(begins(i), F.lit(False)))
+
+    def cut(texts: Column) -> Column:
+        # keys hold no white space, so none spans two lines
+        marks = F.transform(texts, lambda x: F.struct(looks_new(x).alias("new"), x.rlike(KEY).alias("key")))
+        return bound(F.struct(texts.alias("texts"), bound(marks, starts).alias("at")), lambda p: _sliced(p["texts"], p["at"]))
 
-    out = F.aggregate(own, start, add, lambda a: F.concat(a["done"], F.array(stripped(F.array_join(a["cur"], " ")))))
-    found = F.filter(out, lambda r: r != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(stripped(t)))
+    found = bound(own, lambda o: F.when(F.size(o) > 0, cut(o)))
+    return bound(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(stripped(t))))
 
 
 def references_of(t: Column) -> Column:
     """A document's references as an array: by markers, else by blank lines, else by cues; none if blank."""
     parts = paragraphs(t)
-    return F.when(stripped(t) == "", F.array().cast("array<string>")).when(has_marker(lines(t)), cut_marked(lines(t))).when(F.size(parts) > 1, parts).otherwise(fold_heuristic(t))
+    return F.when(stripped(t) == "", F.array().cast("array<string>")).when(has_marker(lines(t)), cut_marked(lines(t))).when(F.size(parts) > 1, parts).otherwise(cut_by_cues(t))
 
 
 def split_references(docs: DataFrame) -> DataFrame:

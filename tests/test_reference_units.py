@@ -161,3 +161,20 @@ def test_a_marked_document_of_very_many_lines(spark):
     assert time.time() - began < 60
     want = sorted(map(tuple, segment.split_marked(docs).where("doc_id < 3").collect()))
     assert got == want and len(got) == 50_001 + 3 and got[1][2] == "work 0 more of 0"
+
+
+def test_cues_find_what_a_scan_finds(spark):
+    """Random blocks of lines with and without keys and cues equal a line-by-line scan; 100,000 lines take linear time."""
+    import random
+    import time
+
+    r = random.Random(11)
+    kinds = ["A. Author, Title one", "B. Writer, On things. 2020.", "plain words go on", "see 10.1234/ab.c", "https://x.org/a", "short end.", "in Proc. of Things 1999", "pp. 3, 2001", "10.1234/", "IEEE"]
+    blocks = ["\n".join(r.choice(kinds) for _ in range(r.randint(1, 14))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(blocks)), "doc_id int, text string")
+    want = sorted((n, pos, text) for n, b in enumerate(blocks) for pos, text in segment.SplitReferences().eval(b))
+    assert sorted(map(tuple, segment.split_references(docs).collect())) == want and len(want) > 900
+    long = spark.createDataFrame([(1, "\n".join(f"A. Author, Work n{i}\n in a journal, 2020." for i in range(50_000)))], "doc_id int, text string")
+    began = time.time()
+    got = segment.split_references(long).collect()
+    assert time.time() - began < 60 and len(got) == 50_000 and got[7]["reference"] == "A. Author, Work n7 in a journal, 2020."

@@ -17,12 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line: a record found for the order, from the source of its line number."""
+    """One row per order line: a record found for the order, from the source of its line number. Lines are dealt by
+    ``ref_id`` itself and numbered before texts are made of them: joins and groups by reference that follow need no other
+    shuffle, and the one shuffle moves columns of the tables."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey")).join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey"))
+    rows = rows.selectExpr("l_orderkey AS ref_id", *_ORDER, "p_name", "p_brand", "p_type", "p_size", "s_name")
+    rows = rows.selectExpr("*", f"row_number() OVER (PARTITION BY ref_id ORDER BY {', '.join(_ORDER)}) AS cand_ord")
     sources = ", ".join(f"'{s}'" for s in _BY_LINE)
     return rows.selectExpr(
-        "l_orderkey AS ref_id",
-        f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS cand_ord",
+        "ref_id",
+        "cand_ord",
         f"coalesce(get(array({sources}), cast(l_linenumber AS int) - 1), 'other') AS source",
         "p_name AS title",
         "array(concat('Anna Maria ', s_name), concat('J.-P. ', substr(p_name, 1, 5))) AS authors",
@@ -33,7 +37,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_partkey % 3 = 0 THEN cast(l_partkey AS string) ELSE concat(cast(l_partkey AS string), CASE WHEN l_partkey % 3 = 1 THEN '-' ELSE '–' END, cast(l_partkey + cast(l_quantity AS bigint) AS string)) END AS pages",
         "cast(year(l_shipdate) AS string) AS year",
         "cast(month(l_shipdate) AS string) AS month",
-        "CASE WHEN l_orderkey % 2 = 0 AND l_linenumber IN (1, 2, 4) THEN concat('10.1000/', cast(l_orderkey AS string)) WHEN l_partkey % 5 = 0 THEN concat('10.2000/', cast(l_partkey AS string)) END AS doi",
+        "CASE WHEN ref_id % 2 = 0 AND l_linenumber IN (1, 2, 4) THEN concat('10.1000/', cast(ref_id AS string)) WHEN l_partkey % 5 = 0 THEN concat('10.2000/', cast(l_partkey AS string)) END AS doi",
         "CASE WHEN l_linenumber = 1 THEN if(p_size % 2 = 0, 'journal-article', 'proceedings-article') END AS cr_type",
         "l_linenumber = 2 AND p_size % 3 = 0 AS oa_is_proceedings",
         "CASE WHEN l_linenumber = 3 THEN array('JournalArticle', if(p_size % 4 = 0, 'Conference', 'Review')) END AS s2_types",

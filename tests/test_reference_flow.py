@@ -197,3 +197,22 @@ def test_repeats_are_answered_from_earlier_batches(spark, tmp_path):
     earlier = spark.read.parquet(sink).where("batch_id < 1 and not cached")
     online.commit(online.answered(rows, earlier, resolve), 1, sink)
     assert answers() == want and spark.read.parquet(sink).count() == 10
+
+
+def test_sets_meet_only_where_enough_words_are_left(spark):
+    """All pairs of the wanted similarity meet; two sets whose only shared word leaves too few after it don't."""
+    import itertools
+    import random
+
+    from citeflow.operators.lookup import similar_sets
+
+    rng = random.Random(5)
+    sets = {frozenset(rng.choices("abcdefghijklmnopqrst", [1, 1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 7, 8, 9, 9, 9, 9, 9], k=rng.randint(1, 12))) for _ in range(300)}
+    df = spark.createDataFrame([(" ".join(sorted(s)), sorted(s)) for s in sets], "line string, words array<string>")
+    for t in (0.3, 0.5, 0.8, 1.0):
+        rows = [(frozenset(r["a"].split()), frozenset(r["b"].split())) for r in similar_sets(df, df, t).collect()]
+        assert len(rows) == len(set(rows))
+        assert {(x, y) for x, y in itertools.product(sets, sets) if len(x & y) >= t * len(x | y)} <= set(rows)
+    one, two = [f"a{i}" for i in range(5)] + ["z"] + [f"zz{i}" for i in range(4)], [f"b{i}" for i in range(5)] + ["z"] + [f"zy{i}" for i in range(4)]
+    a, b = (spark.createDataFrame([(" ".join(x), x)], "line string, words array<string>") for x in (one, two))
+    assert similar_sets(a, b, 0.5).count() == 0

@@ -368,14 +368,9 @@ def normalised_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pubmed": F.struct("title", people("name").alias("authors"), F.col("journal_name").alias("fulljournalname"), F.col("journal_abbrev").alias("source"), F.concat(F.lit("doi: "), "doi").alias("elocationid"), "volume", "issue", "pages", F.concat_ws(" ", "year", F.lit("Mar")).alias("pubdate")),
         "ieeexplore": F.struct("title", F.struct(people("full_name").alias("authors")).alias("authors"), F.col("journal_name").alias("publication_title"), "volume", "issue", first.alias("start_page"), last.alias("end_page"), F.col("year").alias("publication_year"), "doi"),
     }
-    parts = []
-    for source, r in raw.items():
-        got = catalogs.from_json_column(c.where(F.col("source") == source).select("ref_id", "cand_ord", F.to_json(r).alias("payload")), "payload", source)
-        parts.append(got.select("ref_id", "cand_ord", "source", "title", _text(F.col("authors")).alias("authors"), "journal_name", "journal_abbrev", "volume", "issue", "pages", "year", "month", "doi"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    payload = F.coalesce(*[F.when(F.col("source") == source, F.to_json(r)) for source, r in raw.items()])
+    got = catalogs.from_mixed_json(c.select("ref_id", "cand_ord", "source", payload.alias("payload")), "payload")
+    return got.where(F.col("source") != "arxiv").select("ref_id", "cand_ord", "source", "title", _text(F.col("authors")).alias("authors"), "journal_name", "journal_abbrev", "volume", "issue", "pages", "year", "month", "doi")
 
 
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

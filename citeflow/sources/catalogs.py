@@ -128,6 +128,26 @@ def from_json_column(df: DataFrame, column: str, source: str) -> DataFrame:
     return normalise(df.withColumn("raw", F.from_json(column, raw_schema(source))).drop(column), source)
 
 
+def from_mixed_json(df: DataFrame, column: str) -> DataFrame:
+    """Payloads of several sources in one table (source, a column of JSON) -> the columns of ``normalise`` in one pass, without
+    a union of its sources; rows of sources that aren't known are dropped."""
+    known = list(SOURCES_BY_NAME)
+    raw = df.select("*", *[F.from_json(F.when(F.col("source") == s, F.col(column)), raw_schema(s)).alias(f"_{s}") for s in known]).drop(column)
+    kinds = {**{f: "array<string>" if f == "authors" else "string" for f in FIELDS}, **_EXTRA}
+
+    def record(s: str) -> Column:
+        got = SOURCES_BY_NAME[s](F.col(f"_{s}"))
+        return F.struct(*[got.get(f, F.lit(None)).cast(kind).alias(f) for f, kind in kinds.items()])
+
+    one = F.when(F.col("source") == known[0], record(known[0]))
+    for s in known[1:]:
+        one = one.when(F.col("source") == s, record(s))
+    rest = [c for c in df.columns if c not in (column, *kinds)]
+    # exploded, so that conditions on the record don't parse a payload again
+    rows = raw.where(F.col("source").isin(known)).select(*rest, F.inline(F.array(one)))
+    return rows.withColumn("doi_key", doi_key("doi")).where("title is not null or doi_key is not null")
+
+
 def retraction_notices(catalog: DataFrame, n: int | None = None) -> DataFrame:
     """Updates of works whose notice says retraction: title, doi, update_doi, update_source, updated; the first ``n``
     works by DOI if given (a report)."""

@@ -216,3 +216,20 @@ def test_sets_meet_only_where_enough_words_are_left(spark):
     one, two = [f"a{i}" for i in range(5)] + ["z"] + [f"zz{i}" for i in range(4)], [f"b{i}" for i in range(5)] + ["z"] + [f"zy{i}" for i in range(4)]
     a, b = (spark.createDataFrame([(" ".join(x), x)], "line string, words array<string>") for x in (one, two))
     assert similar_sets(a, b, 0.5).count() == 0
+
+
+def test_payloads_of_several_sources_are_read_in_one_pass(spark, sf_dir):
+    """As each source alone, with one scan and one numbering of the candidates, and unknown sources dropped."""
+    from citeflow.plans import queries
+    from citeflow.sources import catalogs
+
+    rows = [
+        ("crossref", '{"title":["A"],"DOI":"10.1/X","author":[{"given":"J","family":"Doe"}]}'), ("openalex", '{"display_name":"B","biblio":{"first_page":"1","last_page":"2"}}'), ("pubmed", "{}"),
+        ("arxiv", '{"title":"C","published":"2020-01-01"}'), ("ieeexplore", '{"title":"D","start_page":"3"}'), ("semanticscholar", "no json"), ("unknown", '{"title":"E"}'), (None, '{"title":"F"}'),
+    ]
+    df = spark.createDataFrame(rows, "source string, payload string")
+    got = catalogs.from_mixed_json(df, "payload")
+    want = [r for s in catalogs.SOURCES_BY_NAME for r in catalogs.from_json_column(df.where(f"source = '{s}'"), "payload", s).select(*got.columns).collect()]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == 4
+    plan = queries.normalised_catalogs(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem") <= 1 and plan.count("Window [row_number()") == 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.similarity import sorted_words
 from ..operators import fuse, lookup, match, render, repair, screen, segment, sinks, verify
 from ..schemas import CHANGE, FIELDS
 from ..sources import catalogs, files
@@ -80,7 +81,10 @@ def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_token_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, "token_sort").select("ref_id", "cand_ord", F.round(match.near("title", "token_sort"), 6).alias("similarity"))
+    line = lambda df, side: df.withColumn(f"{side}_title_line", sorted_words(S.given("title")))
+    left, right = line(references(spark, sf_dir), "a").select("ref_id", "a_title_line"), line(candidates(spark, sf_dir), "b")
+    rows = right.select("ref_id", "cand_ord", "b_title_line").join(left, "ref_id")
+    return rows.select("ref_id", "cand_ord", F.round(match.near("title", "token_sort"), 6).alias("similarity"))
 
 
 def selected_best(spark: SparkSession, sf_dir: str) -> DataFrame:

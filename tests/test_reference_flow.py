@@ -233,3 +233,10 @@ def test_payloads_of_several_sources_are_read_in_one_pass(spark, sf_dir):
     assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == 4
     plan = queries.normalised_catalogs(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lineitem") <= 1 and plan.count("Window [row_number()") == 1
+
+
+def test_title_similarity_reads_titles_only(spark, sf_dir):
+    from citeflow.plans import queries
+
+    plan = queries.title_token_sort(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "p_name:" in plan and "p_brand:" not in plan and "c_mktsegment:" not in plan

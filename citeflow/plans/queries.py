@@ -191,7 +191,10 @@ def csl_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _styled(spark, sf_dir)
     kind = F.element_at(F.array(*[F.lit(x) for x in _KIND]), (F.col("ref_id") % 7 + 1).cast("int"))
     rows = refs.select("ref_id", fuse.record(refs).alias("r"), kind.alias("kind")).select("ref_id", render.csl_json(F.col("r"), F.col("kind")).alias("js"))
-    return rows.select("ref_id", *[F.get_json_object("js", f"$.{p}").alias(n) for n, p in {"type": "type", "title": "title", "family": "author[0].family", "given": "author[0].given", "container": "container-title", "page": "page", "url": "URL", "doi": "DOI", "issued": "issued.date-parts"}.items()])
+    read = "type string, title string, author array<struct<family: string, given: string>>, `container-title` string, page string, URL string, DOI string, issued struct<`date-parts`: string>"
+    rows = rows.select("ref_id", F.from_json("js", read).alias("o"))  # one reading for all members
+    first = F.get("o.author", F.lit(0))
+    return rows.select("ref_id", "o.type", "o.title", first["family"].alias("family"), first["given"].alias("given"), F.col("o.container-title").alias("container"), "o.page", F.col("o.URL").alias("url"), F.col("o.DOI").alias("doi"), F.col("o.issued.date-parts").alias("issued"))
 
 
 def bibtex_exports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,3 +240,23 @@ def test_title_similarity_reads_titles_only(spark, sf_dir):
 
     plan = queries.title_token_sort(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "p_name:" in plan and "p_brand:" not in plan and "c_mktsegment:" not in plan
+
+
+def test_sorted_words_meet_in_blocks_of_any_size(spark):
+    """Small blocks give the pairs of one block, each once; pairs are told by ids, and no row of a gram leaves a task."""
+    import random
+
+    from citeflow.functions.similarity import common_subsequence
+    from citeflow.operators.alike import alike_lines
+
+    r = random.Random(9)
+    base = {" ".join(sorted("".join(r.choices("aeinorst", k=r.randint(1, 9))) for _ in range(r.choice((1, 3, 12, 50))))) for _ in range(60)}
+    lines = sorted(base | {s[:i] + r.choice("xyz") + s[i + 1 :] for s in base for i in (len(s) // 2, len(s) - 1)})
+    df = spark.createDataFrame([(s,) for s in lines], "line string")
+    name = {bytes(x["id"]): x["line"] for x in df.selectExpr("line", "unhex(md5(line)) AS id").collect()}
+    want = {(a, b) for a in lines for b in lines if 2 * common_subsequence(a, b) >= (0.9 - 1e-9) * (len(a) + len(b))}
+    for chars in (300, 10**6):
+        found = alike_lines(df, df, 0.9, chars)
+        rows = [(name[bytes(x["a"])], name[bytes(x["b"])]) for x in found.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    assert "gram" not in found._jdf.queryExecution().executedPlan().toString()

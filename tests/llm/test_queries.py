@@ -86,3 +86,23 @@ def test_pipeline_over_odd_and_no_rows(spark, odd_docs, no_docs, sf_dir):
         for _, stage in p.STAGES:
             docs = stage(spark, docs, sf_dir)
         docs.collect()
+
+
+def test_the_toxicity_model_is_fitted_in_a_task(spark, sf_dir, monkeypatch):
+    """The driver has neither the sample's texts nor the fit of them."""
+    from citeflow.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    want = toxicity.fit(sorted_sample(docs, labels))
+
+    def refused(*_):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(toxicity, "fit", refused)
+    assert want.weights and toxicity.fit_table(docs, labels) == want
+
+
+def sorted_sample(docs, labels):
+    """(text, grade) of all labelled documents by id: the small tables have less than ``SAMPLE`` of each class."""
+    rows = docs.join(labels, "doc_id").selectExpr("doc_id", "coalesce(text, '') AS text", "cast(toxic AS int) AS toxic").collect()
+    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]

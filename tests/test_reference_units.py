@@ -178,3 +178,17 @@ def test_cues_find_what_a_scan_finds(spark):
     began = time.time()
     got = segment.split_references(long).collect()
     assert time.time() - began < 60 and len(got) == 50_000 and got[7]["reference"] == "A. Author, Work n7 in a journal, 2020."
+
+
+def test_names_of_a_record_are_formatted_as_shown(spark):
+    """Cleaned lists give the lines of ``format_authors``; of seven names or more only the first is split into words."""
+    from citeflow.operators import fuse
+
+    lists = [None, [], ["Plato"], ["Anna Maria Lee"], ["Lee, Mary-Ann", "Kim Jr., Q.", "J.-P. Sartre"], ["Van Dyk, A. B."] * 6, ["Lee, Mary-Ann"] + ["B. Author"] * 6, ["  ", "A  B", None]]
+    rows = fuse.with_fields(spark.createDataFrame([(i, a) for i, a in enumerate(lists)], "ref_id int, authors array<string>"))
+    rows = rows.select("ref_id", "authors", fuse.record(rows).alias("r"))
+    got = rows.select(S.format_authors(F.col("authors")).alias("x"), F.coalesce(S.format_authors(F.col("r.authors"), cleaned=True), F.lit("")).alias("y"), render.format_reference(F.col("r"), F.lit("book")).alias("z"), F.expr("r.authors IS NULL").alias("none")).collect()
+    assert [g["x"] for g in got] == [g["y"] for g in got] == ["", "", "Plato", "A. M. Lee", "M.-A. Lee, Q. Kim, Jr., and J.-P. Sartre", "A. B. Van Dyk, A. B. Van Dyk, A. B. Van Dyk, A. B. Van Dyk, A. B. Van Dyk, and A. B. Van Dyk", "M.-A. Lee *et al.*", "A. B"]
+    assert [g["z"] for g in got] == [g["x"] + "." for g in got] and [g["none"] for g in got] == [True, True] + [False] * 6
+    plan = rows.select(S.format_authors(F.col("r.authors"), cleaned=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 7) THEN slice(" in plan

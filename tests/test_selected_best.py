@@ -56,3 +56,23 @@ def test_surnames_of_a_record(spark):
     rows = fuse.with_fields(drawn(spark, 4, 3))
     c = rows.select(fuse.record(rows).alias("c"))
     assert c.where(~S.record_surnames(F.col("c.authors")).eqNullSafe(S.surnames(F.col("c.authors")))).count() == 0
+
+
+def test_author_keys_of_a_record(spark):
+    r = random.Random(11)
+    words = ["Ada", "b.", "J.-P.", "3rd", "-x", "von", "O'Neil", "et", "al.", "et.", "al", "Et", "ßen", "Éva", "_", "Jr.", "(ed)"]
+    people = [[" ".join(r.choice(words) for _ in range(r.randint(0, 4))) for _ in range(r.randint(0, 4))] for _ in range(2000)]
+    rows = fuse.with_fields(spark.createDataFrame([(i, p) for i, p in enumerate([*people, None])], "ref_id long, authors array<string>"))
+    c = rows.select(fuse.record(rows).alias("c"))
+    assert c.where(~S.record_author_keys(F.col("c.authors")).eqNullSafe(S.author_keys(F.col("c.authors")))).count() == 0
+
+
+def test_page_ranges_of_the_selection_widen_pages_as_those_of_all_candidates_do(spark):
+    from citeflow.operators import repair, verify
+    from citeflow.schemas import CHANGE
+
+    cands = drawn(spark, 5, 5).withColumn("pages", F.expr("CASE cand_ord WHEN 1 THEN pages WHEN 2 THEN 'pp. 3-12' WHEN 3 THEN '13-19' WHEN 4 THEN '3–12' ELSE '3' END"))
+    refs = spark.range(150).selectExpr("id AS ref_id", "'Deep graphs for tables' AS title", "if(id % 2 = 0, '3', '13') AS pages")
+    rows = verify.verify(fuse.select_best(refs, cands)).withColumn("attempts", F.lit(0)).withColumn("changed", F.lit(False)).withColumn("changes", F.array().cast(CHANGE))
+    own, all_ = (repair.apply_corrections(rows, ranges).selectExpr("ref_id", "ex.pages", "to_json(changes) AS changes").collect() for ranges in (None, fuse.longest_ranges(cands, ["ref_id"])))
+    assert sorted(own) == sorted(all_) and any("pp. 3-12" == r["pages"] for r in own) and any("13-19" == r["pages"] for r in own)

@@ -43,3 +43,8 @@ def test_votes_over_arrays_equal_votes_over_rows(spark):
     mine = {(r["ref_id"], f, r["votes"][i]["v"], r["votes"][i]["w"], r["votes"][i]["s"]) for r in got.collect() for f, i in at.items() if r["votes"][i] is not None}
     want = fuse.vote_fields(fuse.with_fields(df), ["ref_id"]).collect()
     assert mine == {(r["ref_id"], r["field"], r["value"], int(r["weight"] * 100), r["source"]) for r in want} and len(mine) > 300
+
+
+@pytest.mark.parametrize("name", ["corrections", "change_log"])
+def test_corrections_shuffle_no_more_than_the_selection(not_adaptive, sf_dir, name):
+    assert plan(queries.queries()[name](not_adaptive, sf_dir)).count("- Exchange") == plan(queries.selected_best(not_adaptive, sf_dir)).count("- Exchange")

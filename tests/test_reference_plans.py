@@ -48,3 +48,7 @@ def test_votes_over_arrays_equal_votes_over_rows(spark):
 @pytest.mark.parametrize("name", ["corrections", "change_log"])
 def test_corrections_shuffle_no_more_than_the_selection(not_adaptive, sf_dir, name):
     assert plan(queries.queries()[name](not_adaptive, sf_dir)).count("- Exchange") == plan(queries.selected_best(not_adaptive, sf_dir)).count("- Exchange")
+
+
+def test_reports_shuffle_no_more_than_the_selection(not_adaptive, sf_dir):
+    assert plan(queries.reports(not_adaptive, sf_dir)).count("- Exchange") == plan(queries.selected_best(not_adaptive, sf_dir)).count("- Exchange")

@@ -52,3 +52,8 @@ def test_corrections_shuffle_no_more_than_the_selection(not_adaptive, sf_dir, na
 
 def test_reports_shuffle_no_more_than_the_selection(not_adaptive, sf_dir):
     assert plan(queries.reports(not_adaptive, sf_dir)).count("- Exchange") == plan(queries.selected_best(not_adaptive, sf_dir)).count("- Exchange")
+
+
+def test_patches_shuffle_the_selection_and_the_references_again(not_adaptive, sf_dir):
+    of = lambda f: plan(f(not_adaptive, sf_dir)).count("- Exchange hashpartitioning")
+    assert of(queries.patches) == of(queries.selected_best) + 2  # orders and their first candidates
